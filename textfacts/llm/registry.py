@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality
+from . import bpe_chunks, exact_dedup, packing, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,9 @@ def queries() -> dict[str, Query]:
     return {
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op6_quality_rules": quality.op6_quality_rules,
+        "op7_packing": packing.op7_packing,
+        "op8_bpe_chunks": bpe_chunks.op8_bpe_chunks,
+        "op10_sharding": sharding.op10_sharding,
     }
 
 

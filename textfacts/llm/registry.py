@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, exact_dedup, packing, quality, sharding
+from . import bpe_chunks, exact_dedup, language, packing, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_language_mixture": language.op1_language_mixture,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_packing": packing.op7_packing,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, exact_dedup, language, packing, quality, sharding
+from . import bpe_chunks, exact_dedup, language, ngram_join, packing, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_packing": packing.op7_packing,
         "op8_bpe_chunks": bpe_chunks.op8_bpe_chunks,
+        "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_sharding": sharding.op10_sharding,
     }
 

@@ -47,7 +47,7 @@ def test_any_text(codec, text):
 
 
 def test_unproved_joins_are_repaired():
-    codec = ChunkCodec(BYTE, cut_of_8=8)
+    codec = ChunkCodec(BYTE, cut_of_16=16)
     text = "one  two \n\n three   four " * 20
     assert ids_of(codec.encode(text)) == Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False).ids
     assert codec.repaired > 0

@@ -20,6 +20,7 @@ import json
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Bytes under the rolling hash, and how many of its 8 residues make a cut.
+#: Bytes under the rolling hash, and how many of its 16 residues make a cut.
 HASH_WINDOW = 4
-CUT_OF_8 = 7
-CACHE_CHUNKS = 300_000
+CUT_OF_16 = 15
+#: Chunks a worker remembers, over all its tasks; beyond that it starts anew (about 200 MB).
+CACHE_CHUNKS = 1_000_000
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -49,13 +51,13 @@ def byte_letters() -> dict[str, int]:
 class ChunkCodec:
     """encode: text -> ids as little-endian unsigned 32-bit bytes; decode: back."""
 
-    def __init__(self, path: str, *, hash_window: int = HASH_WINDOW, cut_of_8: int = CUT_OF_8, limit: int = CACHE_CHUNKS):
+    def __init__(self, path: str, *, hash_window: int = HASH_WINDOW, cut_of_16: int = CUT_OF_16, limit: int = CACHE_CHUNKS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.hash_window, self.cut_of_8, self.limit = hash_window, cut_of_8, limit
+        self.hash_window, self.cut_of_16, self.limit = hash_window, cut_of_16, limit
         self.known: dict[bytes, bytes] = {}
         self.repaired = 0
         letters = byte_letters()
@@ -78,48 +80,57 @@ class ChunkCodec:
         for k in range(1, self.hash_window + 1):
             rolled = rolled * np.uint32(0x01000193) + np.where(at >= k, b[at - np.minimum(k, at)], 0).astype(np.uint32)
         rolled *= np.uint32(0x9E3779B1)
-        at = at[(rolled >> np.uint32(29)) < self.cut_of_8]
+        at = at[(rolled >> np.uint32(28)) < self.cut_of_16]
         before = at - 1
         exact = ~blank[before]
         if not text.isascii() and _UNICODE_BLANK.search(text):
             exact &= b[before] < 0x80
         return at, exact
 
-    def encode(self, text: str) -> bytes:
+    def chunks(self, text: str) -> list[bytes]:
+        """The text in chunks that may each be encoded alone."""
         data = text.encode()
         at, exact = self.cuts(text, data)
         self.repaired += len(at) - int(exact.sum())
-        # Windows around unproved joins reach from proved join to proved join.
+        # A window around unproved joins reaches from proved join to proved join.
         ends = [*at[exact].tolist(), len(data)]
-        chunks, start = [], 0
-        for end in ends:
-            chunks.append(data[start:end])
-            start = end
+        return [data[i:j] for i, j in zip([0, *ends], ends)]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        parts = [self.chunks(t) for t in texts]
         known = self.known
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            pass
-        if len(known) > self.limit:
+        new = list(set().union(*parts).difference(known))
+        if len(known) + len(new) > self.limit:
             known.clear()
-        new = [c for c in set(chunks) if c not in known]
-        for chunk, got in zip(new, self.tokenizer.encode_batch([c.decode() for c in new], add_special_tokens=False)):
-            known[chunk] = struct.pack(f"<{len(got.ids)}I", *got.ids)
-        return b"".join(map(known.__getitem__, chunks))
+            new = list(set().union(*parts))
+        for at in range(0, len(new), 10_000):
+            some = new[at : at + 10_000]
+            for chunk, got in zip(some, self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)):
+                known[chunk] = struct.pack(f"<{len(ids)}I", *ids) if (ids := got.ids) else b""
+        return [b"".join(map(known.__getitem__, p)) for p in parts]
 
     def decode(self, ids: bytes) -> str:
         bytes_of = self.bytes_of
         return b"".join([bytes_of[i] for i in struct.unpack(f"<{len(ids) // 4}I", ids)]).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def chunk_codec(path: str) -> ChunkCodec:
+    """The worker's own codec and memory, kept from task to task."""
+    return ChunkCodec(path)
+
+
 def encode_texts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int) for every row; null and empty texts give no ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = ChunkCodec(path)
+        codec = chunk_codec(path)
         for batch in batches:
             for rows in _slices(batch):
-                ids = [np.frombuffer(codec.encode(t.as_py() or ""), "<u4").astype(np.int32) for t in rows.column(1)]
+                ids = [np.frombuffer(raw, "<u4").astype(np.int32) for raw in codec.encode_all([t or "" for t in rows.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -129,7 +140,7 @@ def decode_ids(rows: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: s
     """doc_id, text: the texts that arrays of ids stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = ChunkCodec(path)
+        codec = chunk_codec(path)
         for batch in batches:
             for part in _slices(batch):
                 texts = [codec.decode(np.asarray(i.as_py() or [], "<u4").tobytes()) for i in part.column(1)]
@@ -147,14 +158,14 @@ def digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = ChunkCodec(path)
+        codec = chunk_codec(path)
         for batch in batches:
             n, of_ids, of_text = [], [], []
-            for text in batch.column(1):
-                ids = codec.encode(text.as_py() or "")
-                n.append(len(ids) // 4)
-                of_ids.append(hashlib.sha256(ids).hexdigest())
-                of_text.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
+            for rows in _slices(batch):
+                for ids in codec.encode_all([t or "" for t in rows.column(1).to_pylist()]):
+                    n.append(len(ids) // 4)
+                    of_ids.append(hashlib.sha256(ids).hexdigest())
+                    of_text.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -28,8 +28,8 @@ from .common import fold, table
 #: Labelled documents used per language; the bound of the training sample.
 SAMPLE_PER_LANGUAGE = 1500
 BUCKETS = 1 << 16
-#: Words a worker remembers the likelihoods of.
-CACHE_WORDS = 300_000
+#: Words a worker remembers the likelihoods of, over all its tasks.
+CACHE_WORDS = 600_000
 ROUNDS = 12
 #: A word that no language explains is drawn from this even background instead,
 #: which keeps one strange word from deciding a document.
@@ -184,12 +184,11 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", prefix: s
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
     schema = rows.withColumns({c: F.lit(None).cast(t) for c, t in zip(new, ("string", "double", "array<double>"))}).schema
     at = kept.index(text_col)
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.logp))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, logp = shared.value
-        own = Model.__new__(Model)
-        own.languages, own.logp, own.limit, own.places, own.rows = languages, logp, CACHE_WORDS, {}, np.zeros((1024, len(languages)), np.float32)
+        own = shared.value  # one object per worker, so what it learns about words stays
+        languages = own.languages
         for batch in batches:
             for start in range(0, max(batch.num_rows, 1), 1000):
                 part = batch.slice(start, 1000)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, exact_dedup, language, ngram_join, packing, quality, sharding
+from . import bpe_chunks, exact_dedup, language, licences, ngram_join, packing, quality, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_language_mixture": language.op1_language_mixture,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_toxicity": toxicity.op4_toxicity,
+        "op5_licence_scan": licences.op5_licence_scan,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_packing": packing.op7_packing,
         "op8_bpe_chunks": bpe_chunks.op8_bpe_chunks,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, exact_dedup, language, licences, ngram_join, packing, quality, sharding, toxicity
+from . import bpe_chunks, exact_dedup, language, licences, ngram_join, packing, quality, sharding, toxicity, wrappers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_language_mixture": language.op1_language_mixture,
+        "op2_wrapper_extract": wrappers.op2_wrapper_extract,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_licence_scan": licences.op5_licence_scan,

@@ -44,3 +44,26 @@ def materialize(df: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: More dropped rows than this (about 60 bytes each) are joined by a shuffle, not by a broadcast.
+BROADCAST_DROPPED = 300_000
+
+
+def keep_rows(docs: DataFrame, decisions: DataFrame, key: Column, *, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that ``decisions`` (doc_id, key, kept) keep, with all their columns.
+
+    Rows are found by id and text key.  Of rows repeated with both equal, one stays
+    where the decision keeps only one.
+    """
+    by_row = materialize(decisions.groupBy("doc_id", "key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
+    gone = by_row.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"), F.col("key").alias("__gone_key"))
+    counts = by_row.agg(F.count(F.when(~F.col("kept"), 1)).alias("gone"), F.count(F.when(F.col("kept") & (F.col("n") > 1), 1)).alias("doubled")).first()
+    if counts["gone"] <= BROADCAST_DROPPED:
+        gone = F.broadcast(gone)
+    columns = docs.columns
+    rows = docs.withColumn("__row_key", key)
+    rows = rows.join(gone, (rows["__row_key"] == gone["__gone_key"]) & rows[id_col].eqNullSafe(gone["__gone_id"]), "left_anti")
+    if counts["doubled"]:
+        rows = rows.dropDuplicates([id_col, "__row_key"])
+    return rows.select(*[rows[c] for c in columns])

@@ -47,6 +47,8 @@ FANOUT = 2.0
 SMALL = 32
 SKETCH = 96
 SKETCH_PASS = 0.6
+#: More open nodes than this (8 bytes each) are joined by a shuffle, not by a broadcast.
+BROADCAST_NODES = 1_000_000
 #: Documents of a node, or of a candidate group, that one task compares with each other.
 NODE_BLOCK = 512
 GROUP_BLOCK = 256
@@ -155,17 +157,20 @@ def buckets(signed: DataFrame, *, small: int = SMALL, depth: int = DEPTH) -> Dat
     opened = None
     for d in range(1, depth + 1):
         entry = F.expr(f"filter(transform(nodes, (x, i) -> CASE WHEN level[i] = {d} THEN struct(x AS node, CASE WHEN up[i] >= 0 THEN nodes[up[i]] END AS parent) END), x -> x IS NOT NULL)")
-        rows = signed.select("vid", F.explode(entry).alias("e")).select("vid", "e.node", "e.parent").distinct()
-        if opened is not None:
-            rows = rows.join(opened.select("vid", F.col("node").alias("parent")), ["vid", "parent"], "left_semi")
+        rows = signed.select("vid", F.explode(entry).alias("e")).select("vid", "e.node", "e.parent")
+        if opened is not None:  # children of open nodes only; a child's documents are among its parent's
+            rows = rows.join(opened, "parent", "left_semi")
         rows = rows.select("vid", "node").distinct()
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
         shared = materialize(rows.join(sizes, "node"))
         ready = shared if d == depth else shared.filter(F.col("size") <= small)
         found = ready if found is None else found.unionByName(ready)
-        opened = shared.filter(F.col("size") > small)
-        if d < depth and opened.isEmpty():
-            break
+        if d < depth:
+            opened = materialize(shared.filter(F.col("size") > small).select(F.col("node").alias("parent")).distinct())
+            n = opened.count()
+            if not n:
+                break
+            opened = F.broadcast(opened) if n <= BROADCAST_NODES else opened
     return found.select("node", "vid", "size")
 
 

@@ -103,10 +103,15 @@ def _ranges(chars: str) -> list[tuple[int, int]]:
     return out
 
 
+def label(c: str | Column) -> Column:
+    """U+XXXX of a one-character column."""
+    h = F.ltrim(F.hex(F.encode(col(c), "UTF-32")), F.lit("0"))
+    return F.concat(F.lit("U+"), F.lpad(h, F.greatest(F.length(h), F.lit(4)), F.lit("0")))
+
+
 def code_points(c: str | Column) -> Column:
-    """Array of (index, character, label)."""
-    h = lambda x: F.hex(F.encode(x, "UTF-32"))
-    return F.transform(F.filter(F.split(col(c), ""), lambda x: x != ""), lambda x, i: F.struct(i.alias("index"), x.alias("character"), F.concat(F.lit("U+"), F.when(F.substring(h(x), 4, 1) == "0", F.substring(h(x), 5, 4)).otherwise(F.ltrim(h(x), F.lit("0")))).alias("label")))
+    """Array of (index, character); label exploded characters with :func:`label`."""
+    return F.transform(F.filter(F.split(col(c), ""), lambda x: x != ""), lambda x, i: F.struct(i.alias("index"), x.alias("character")))
 
 
 def encoded(c: str | Column, encoding: str, representation: str) -> Column:

@@ -136,7 +136,8 @@ def signal_counts(spark, d):
 
 @_query(f"SELECT ch AS character, printf('U+%04X', unicode(ch)) AS label, count(*) AS n FROM (SELECT unnest(string_split(t, '')) AS ch FROM {_d('emoji')}) WHERE ch <> '' GROUP BY ALL")
 def code_point_histogram(spark, d):
-    return _docs(spark, d, "emoji").select(F.explode(C.code_points("t")).alias("c")).groupBy("c.character", "c.label").agg(F.count(F.lit(1)).alias("n"))
+    characters = _docs(spark, d, "emoji").select(F.explode(F.split("t", "")).alias("character")).filter("character <> ''")
+    return characters.groupBy("character").agg(F.count(F.lit(1)).alias("n")).select("character", C.label("character").alias("label"), "n")
 
 
 @_query(f"SELECT doc_id, 2 * (length(t) + length(regexp_replace(t, '[\\x{{0}}-\\x{{FFFF}}]', '', 'g'))) AS utf16_bytes, true AS round_trip FROM {_d('emoji')}")

@@ -1,6 +1,6 @@
 """Licence scanning by sentence rules.
 
-A text is parted into sentences at line ends and at full stops before a blank.
+A text is parted into sentences at line ends and at full stops, exclamation and question marks before a blank.
 A sentence is normalised (letters, digits and plus signs, in lower case, joined by
 one space) and looked up in a table of sentences known from licences; what is
 known becomes an identifier.  Ordered rules - sequences of identifiers - are then
@@ -80,7 +80,7 @@ RULES = [
 ]
 
 _COMPILED = [(re.compile(p), kind) for p, kind in PATTERNS]
-_SENTENCE = re.compile(r"[^\n]+?(?:[.!?;:](?=\s)|(?=\n)|$)", re.M)
+_SENTENCE = re.compile(r"[^\n]+?(?:[.!?](?=\s)|(?=\n)|$)", re.M)
 _PLAIN = re.compile(r"[^0-9a-z+]+")
 #: Only sentences with one of these letters runs can be known; the others are not normalised.
 _CLUE = re.compile(r"licen[cs]e|copyright|permission|warranty|compliance|redistribut|rights reserved|public domain|neither the name|spdx|\(c\)|©", re.I)

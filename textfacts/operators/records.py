@@ -8,7 +8,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -84,3 +84,41 @@ def compare_records(left: DataFrame, right: DataFrame, key: str, digests: list[s
     changed = F.concat_ws(",", *[F.when(~F.col(f"__a_{d}").eqNullSafe(F.col(f"__b_{d}")), F.lit(d)) for d in digests])
     change = F.when(F.col("__a").isNull(), "added").when(F.col("__b").isNull(), "removed").when(changed == "", "same").otherwise(changed)
     return a.join(b, F.col("__a") == F.col("__b"), "full_outer").select(F.coalesce("__a", "__b").alias(key), change.alias("change"))
+
+
+#: How far a record can be expected to repeat, by operation.
+REPRODUCIBILITY = {"compare": "environment_bound", "declared_collation": "environment_bound"}
+
+
+def measure(cases: DataFrame, operation: str, result: Column, arguments: list[str], environment: dict[str, str] | None = None) -> DataFrame:
+    """case_id, operation, reproducibility and the digests of request, result, environment and record.
+
+    ``cases`` holds case_id and the argument columns.  Digests are over JSON with a
+    fixed field order; ``environment`` (see ``plans.identity``) is kept apart, so a
+    change of host does not change what a result says.
+    """
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    request = sha(F.to_json(F.struct(F.lit(operation).alias("operation"), *[F.col(a) for a in arguments]), {"ignoreNullFields": "false"}))
+    told = sha(F.to_json(F.struct(result.alias("result")), {"ignoreNullFields": "false"}))
+    host = F.lit(hashlib.sha256(canonical_json(environment or {}).encode()).hexdigest())
+    rows = cases.select("case_id", F.lit(operation).alias("operation"), F.lit(REPRODUCIBILITY.get(operation, "cross_runtime_exact")).alias("reproducibility"), request.alias("request_sha256"), told.alias("semantic_sha256"), host.alias("environment_sha256"))
+    return rows.withColumn("record_sha256", F.sha2(F.concat_ws("\0", "operation", "request_sha256", "semantic_sha256", "environment_sha256"), 256))
+
+
+def invalid_records(records: DataFrame) -> DataFrame:
+    """Records whose digests are malformed or do not add up."""
+    names = ["request_sha256", "semantic_sha256", "environment_sha256"]
+    good = F.col("record_sha256") == F.sha2(F.concat_ws("\0", "operation", *names), 256)
+    for n in names:
+        good = good & F.col(n).rlike("^[0-9a-f]{64}$")
+    return records.filter(~F.coalesce(good, F.lit(False)))
+
+
+def replay(recorded: DataFrame, again: DataFrame) -> DataFrame:
+    """case_id and what changed: added, removed, same, or the digests that differ in order of request, semantic, environment."""
+    return compare_records(recorded, again, "case_id", ["request_sha256", "semantic_sha256", "environment_sha256"])
+
+
+def manifest(records: DataFrame) -> DataFrame:
+    """operation, cases and the Merkle root of its records in case order."""
+    return merkle_roots(records, "operation", "case_id", "record_sha256").select(F.col("grp").alias("operation"), F.col("leaves").alias("cases"), "root")

@@ -19,6 +19,7 @@ from .functions import unicode_data as U
 from .operators import namespace as N
 from .operators import records as R
 from .operators import source as S
+from .operators.counts import character_counts
 from .streaming import read_table_stream, run_stream
 
 _SWAPS = {
@@ -136,8 +137,7 @@ def signal_counts(spark, d):
 
 @_query(f"SELECT ch AS character, printf('U+%04X', unicode(ch)) AS label, count(*) AS n FROM (SELECT unnest(string_split(t, '')) AS ch FROM {_d('emoji')}) WHERE ch <> '' GROUP BY ALL")
 def code_point_histogram(spark, d):
-    characters = _docs(spark, d, "emoji").select(F.explode(F.split("t", "")).alias("character")).filter("character <> ''")
-    return characters.groupBy("character").agg(F.count(F.lit(1)).alias("n")).select("character", C.label("character").alias("label"), "n")
+    return character_counts(_docs(spark, d, "emoji"), "t").select("character", C.label("character").alias("label"), "n")
 
 
 @_query(f"SELECT doc_id, 2 * (length(t) + length(regexp_replace(t, '[\\x{{0}}-\\x{{FFFF}}]', '', 'g'))) AS utf16_bytes, true AS round_trip FROM {_d('emoji')}")
@@ -293,6 +293,21 @@ def record_changes(spark, d):
     return R.compare_records(a, b, "doc_id", ["sha256"])
 
 
+@_query()
+def measurement_records(spark, d):
+    """A record of each document's inspection, replayed after every tenth text was changed."""
+    rows = _docs(spark, d).select(F.col("doc_id").alias("case_id"), F.col("t").alias("text"))
+    recorded = R.measure(rows, "inspect_counts", C.inspect_counts("text"), ["text"])
+    changed = rows.withColumn("text", F.when(F.col("case_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return R.replay(recorded, R.measure(changed, "inspect_counts", C.inspect_counts("text"), ["text"]))
+
+
+@_query()
+def behavior_manifest(spark, d):
+    rows = _docs(spark, d).select(F.col("doc_id").alias("case_id"), F.col("t").alias("text"))
+    return R.manifest(R.measure(rows, "inspect_counts", C.inspect_counts("text"), ["text"]))
+
+
 @_query()
 def merkle_roots(spark, d):
     return R.merkle_roots(_docs(spark, d).select("source", "doc_id", C.digest("t").alias("leaf")), "source", "doc_id", "leaf")

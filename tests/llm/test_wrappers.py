@@ -38,3 +38,14 @@ def test_constant_blocks_are_template(spark):
     assert got[91]["text"] == got[92]["text"] == "" and got[91]["n_chars"] == 0
     assert got[3]["n_chars"] == len(got[3]["text"])
     assert extract_pages(pages.limit(0)).count() == 0
+
+
+def extracted(spark, rows):
+    return {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_template_blocks_that_the_first_page_lacks(spark):
+    site = "<div>Welcome to our site</div><div><h1>{0}</h1><p>A long story of {0} that no other page tells.</p></div>"
+    rows = [(0, "http://h.example/0", "<h1>404</h1>")] + [(k, f"http://h.example/{k}", site.format(f"n{k}")) for k in range(1, 9)]
+    got = extracted(spark, rows)
+    assert got[0] == "404" and all(got[k] == f"n{k}\n\nA long story of n{k} that no other page tells." for k in range(1, 9))

@@ -1,21 +1,18 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are made from one template.  The host's first page (least id)
-is its reference tree; every other page is aligned with it by simple tree matching
-- the largest order-preserving mapping of equal tags from the root down - and the
-counts over all pages of the host say, for every block of the reference, on how
-many pages it was met and on how many with the same text.  Blocks whose text is
-constant over the pages are template, blocks whose text varies are slots.
+Pages of one host are made from templates.  Simple tree matching maps a block onto
+another only where all their ancestors are mapped, that is along the same path of
+tags from the root.  So the blocks that keep their text in the merged tree of all
+pages of a host are those of equal path and text, and they are counted by that key
+over every page of the host: no page stands in for the others, and a page of any
+length costs linear time.  Blocks met on more than half of the host's pages are
+template, the others are slots.  ``align`` is the matching of two single trees.
 
 Content is what is left of a page without template blocks and without the slots
 that are furniture by their role: menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments, known by tag, role or class, in whichever page
 they occur.  A host with a single page has no constant blocks to find and goes by
 roles alone.
-
-The alignment compares block trees (elements that hold a block and their blocks,
-inline markup merged), which keeps it small; runs of equal siblings are matched by
-position, so a long article costs linear time.
 """
 
 from __future__ import annotations
@@ -23,6 +20,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,15 +52,15 @@ _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(/?)([a-zA-Z][^\
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _MARK = re.compile(r"[a-z]+")
 _BLANK = re.compile(r"\s+")
-#: A host's block is template when met with the same text on more than half of the pages that have it, and on 3 or more.
+#: A host's block is template when met on more than half of the host's distinct pages, and on 3 or more.
 LEAST_PAGES = 3
 
 
 class Node:
-    __slots__ = ("tag", "out", "children", "text", "place")
+    __slots__ = ("tag", "out", "children", "text", "key")
 
     def __init__(self, tag: str, out: bool):
-        self.tag, self.out, self.children, self.text, self.place = tag, out, [], "", -1
+        self.tag, self.out, self.children, self.text, self.key = tag, out, [], "", 0
 
 
 def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
@@ -170,16 +168,30 @@ def parse(page: str) -> Node:
     return root
 
 
+_paths: dict[tuple[bytes, str, bool], bytes] = {}
+
+
+def _path(parent: bytes, tag: str, out: bool) -> bytes:
+    """Hash of the path of tags down to an element."""
+    if (known := _paths.get((parent, tag, out))) is None:
+        if len(_paths) > 100_000:
+            _paths.clear()
+        known = _paths[parent, tag, out] = blake2b(f"{tag} {out}".encode(), digest_size=8, salt=parent).digest()
+    return known
+
+
 def blocks(root: Node) -> list[Node]:
-    """The text blocks in page order; each gets its place among all nodes (preorder)."""
-    out, todo, place = [], [root], 0
+    """The text blocks in page order; each that is no furniture gets the key of its path and text."""
+    out, todo = [], [(root, b"")]
     while todo:
-        node = todo.pop()
-        node.place = place
-        place += 1
+        node, path = todo.pop()
         if node.tag == "#":
             out.append(node)
-        todo.extend(reversed(node.children))
+            if not node.out:
+                node.key = int.from_bytes(blake2b(node.text.encode("utf-8", "replace"), digest_size=8, salt=path).digest(), "little", signed=True)
+        elif node.children:
+            path = _path(path, node.tag, node.out)
+            todo.extend((child, path) for child in reversed(node.children))
     return out
 
 
@@ -236,20 +248,9 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
     return out
 
 
-def main_text(page: str, template: frozenset[str] | set[str] = frozenset(), reference: Node | None = None, constant: frozenset[int] | set[int] = frozenset()) -> str:
-    """The page's content blocks, joined by two line ends.
-
-    ``constant`` holds the places of the reference's template blocks; a block is
-    dropped if it is aligned with one of them and has its text.
-    """
-    root = parse(page)
-    found = blocks(root)
-    dropped: set[int] = set()
-    if reference is not None and constant:
-        for x, y in align(reference, root):
-            if x.place in constant and x.text == y.text:
-                dropped.add(y.place)
-    return "\n\n".join(b.text for b in found if not b.out and b.place not in dropped and b.text not in template)
+def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> str:
+    """The page's content blocks, those whose key is in ``template`` left out, joined by two line ends."""
+    return "\n\n".join(b.text for b in blocks(parse(page)) if not b.out and b.key not in template)
 
 
 def host_of(url: Column) -> Column:
@@ -258,44 +259,45 @@ def host_of(url: Column) -> Column:
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """host, reference html and the places of its template blocks, from host, page_id and html of all pages."""
-    reference = materialize(pages.groupBy("host").agg(F.min_by("html", F.struct(F.col("page_id").isNull(), F.col("page_id"), F.xxhash64("html"))).alias("reference")))
+    """host and the keys of its template blocks, from host and html of all pages."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[str, Node] = {}
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[tuple[str, int], list[int]] = {}
-            for host, page, ref in zip(*(c.to_pylist() for c in batch.columns)):
-                if (tree := trees.get(host)) is None:
-                    if len(trees) > 500:
-                        trees.clear()
-                    tree = trees[host] = parse(ref)
-                    blocks(tree)
-                root = parse(page)
-                blocks(root)
-                for x, y in align(tree, root):
-                    if not x.out:
-                        n = counts.setdefault((host, x.place), [0, 0])
-                        n[0] += 1
-                        n[1] += x.text == y.text
-            rows = [(h, p, a, b) for (h, p), (a, b) in counts.items()]
-            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["host", "place", "met", "same"])
-
-    met = _with_reference(pages.select("host", "html"), reference).select("host", "html", "reference").mapInArrow(compare, "host string, place int, met long, same long")
-    constant = met.groupBy("host", "place").agg(F.sum("met").alias("met"), F.sum("same").alias("same")).filter((F.col("same") >= LEAST_PAGES) & (2 * F.col("same") > F.col("met")))
-    # At most the blocks of one reference page per host.
-    places = constant.groupBy("host").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    return reference.join(places, "host", "left")
-
-
-#: References (host and one page each) of more bytes than this are joined by a shuffle.
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                rows = []
+                for host, page in zip(*(c.to_pylist() for c in part.columns)):
+                    found = [b for b in blocks(parse(page)) if not b.out]
+                    if found:
+                        body = blake2b(b"".join(b.key.to_bytes(8, "little", signed=True) for b in found), digest_size=8).digest()
+                        rows.append((host, int.from_bytes(body, "little", signed=True), {b.key: len(b.text) for b in found}))
+                arrays = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())]
+                arrays += [pa.array([list(r[2]) for r in rows], pa.list_(pa.int64())), pa.array([list(r[2].values()) for r in rows], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["host", "body", "keys", "lengths"])
+
+    read_pages = pages.select("host", "html").mapInArrow(read, "host string, body long, keys array<long>, lengths array<int>")
+    # Pages of the same blocks count once.
+    distinct = materialize(read_pages.dropDuplicates(["host", "body"]))
+    return _constant(distinct.select("host", F.col("body").alias("who"), "keys"))
+
+
+def _constant(pages: DataFrame) -> DataFrame:
+    """host, template (keys met on enough of the host's pages) and pages (their number), from host, who and keys."""
+    total = pages.groupBy("host").agg(F.count_distinct("who").alias("pages"))
+    met = pages.select("host", "who", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count_distinct("who").alias("n"))
+    often = _by_host(met.filter(F.col("n") > 1), materialize(total), F.lit(0)).filter((F.col("n") >= LEAST_PAGES) & (2 * F.col("n") > F.col("pages")))
+    # At most twice the blocks of a page per host.
+    return materialize(often.groupBy("host").agg(F.collect_list("key").alias("template"), F.max("pages").alias("pages")))
+
+
+#: Tables of hosts of more bytes than this are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
 
-def _with_reference(pages: DataFrame, reference: DataFrame) -> DataFrame:
-    size = reference.agg(F.sum(F.octet_length("reference") + 64)).first()[0] or 0
-    return pages.join(F.broadcast(reference) if size <= BROADCAST_BYTES else reference, "host")
+def _by_host(rows: DataFrame, hosts: DataFrame, size: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table of hosts, whose rows hold about ``size`` bytes besides the host."""
+    total = hosts.agg(F.sum(size + F.octet_length("host") + 64)).first()[0] or 0
+    return rows.join(F.broadcast(hosts) if total <= BROADCAST_BYTES else hosts, "host", how)
 
 
 def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -306,25 +308,16 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     columns are not read; an empty table gives an empty result.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host_of(F.col(url_col)).alias("host"))
-    wrappers = materialize(induce(rows))
+    wrappers = induce(rows).select("host", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[str, Node] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                texts = []
-                for host, page, ref, places in zip(*(part.column(k).to_pylist() for k in range(2, 6))):
-                    tree = None
-                    if places and (tree := trees.get(host)) is None:
-                        if len(trees) > 500:
-                            trees.clear()
-                        tree = trees[host] = parse(ref)
-                        blocks(tree)
-                    texts.append(main_text(page, reference=tree, constant=frozenset(places or ())))
+                texts = [main_text(page, frozenset(template or ())) for page, template in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = _with_reference(rows, wrappers).select("page_id", "url", "host", "html", "reference", "places")
+    joined = _by_host(rows, wrappers, 8 * F.size("template"), "left").select("page_id", "url", "html", "template")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

@@ -49,3 +49,20 @@ def test_template_blocks_that_the_first_page_lacks(spark):
     rows = [(0, "http://h.example/0", "<h1>404</h1>")] + [(k, f"http://h.example/{k}", site.format(f"n{k}")) for k in range(1, 9)]
     got = extracted(spark, rows)
     assert got[0] == "404" and all(got[k] == f"n{k}\n\nA long story of n{k} that no other page tells." for k in range(1, 9))
+
+
+def test_repeated_articles_are_no_template(spark):
+    notice = "<div>All stories here are true.</div>"
+    part = "<p>Paragraph {0} of a long article that many pages of the host repeat.</p>"
+    long = "".join(part.format(k) for k in range(8))
+    rows = [(k, f"http://h.example/{k}", f"<nav>menu {k}</nav><h1>Long</h1>{long}{notice}") for k in range(4)]
+    rows += [(k, f"http://h.example/{k}", f"<h1>Long</h1>{long}<p>Seen on day {k}.</p>{notice}") for k in range(4, 8)]
+    rows += [(k, f"http://h.example/{k}", f"<h1>n{k}</h1><p>A short story of n{k} that no other page tells.</p>{notice}") for k in range(8, 11)]
+    rows += [(k, f"http://two.example/{k}", f"<h1>n{k}</h1><p>A short story of n{k} that no other page tells.</p>{notice}") for k in (20, 21)]
+    rows += [(k, f"http://copies.example/{k}", f"<h1>Long</h1>{long}<p>Seen on day {k}.</p>") for k in (30, 31)]
+    rows += [(k, f"http://same.example/{k}", f"<h1>Long</h1>{long}") for k in range(40, 45)]
+    got = extracted(spark, rows)
+    article = "\n\n".join(["Long", *(f"Paragraph {k} of a long article that many pages of the host repeat." for k in range(8))])
+    assert all(got[k] == article for k in [*range(4), *range(40, 45)])
+    assert all(got[k] == f"{article}\n\nSeen on day {k}." for k in [*range(4, 8), 30, 31])
+    assert all(got[k] == f"n{k}\n\nA short story of n{k} that no other page tells." for k in (8, 9, 10, 20, 21))

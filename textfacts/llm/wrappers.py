@@ -6,7 +6,8 @@ tags from the root.  So the blocks that keep their text in the merged tree of al
 pages of a host are those of equal path and text, and they are counted by that key
 over every page of the host: no page stands in for the others, and a page of any
 length costs linear time.  Blocks met on more than half of the host's pages are
-template, the others are slots.  ``align`` is the matching of two single trees.
+template, the others are slots.  Copies of a page or of an article count as one
+page, so that a repeated article is no template.  ``align`` is the matching of two single trees.
 
 Content is what is left of a page without template blocks and without the slots
 that are furniture by their role: menus, headers, footers, sidebars, notices,
@@ -52,8 +53,11 @@ _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(/?)([a-zA-Z][^\
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _MARK = re.compile(r"[a-z]+")
 _BLANK = re.compile(r"\s+")
-#: A host's block is template when met on more than half of the host's distinct pages, and on 3 or more.
+#: A host's block is template when met on more than half of the host's distinct pages, and on 3 or more (2 where a host has 2).
 LEAST_PAGES = 3
+#: A page counts as one of its own if its text not shared with most of the host is at least 1/OWN_PART of the shared text (as long as
+#: it, where the host has fewer than LEAST_PAGES distinct pages); other pages with the same longest shared block count once.
+OWN_PART = 8
 
 
 class Node:
@@ -278,14 +282,21 @@ def induce(pages: DataFrame) -> DataFrame:
     read_pages = pages.select("host", "html").mapInArrow(read, "host string, body long, keys array<long>, lengths array<int>")
     # Pages of the same blocks count once.
     distinct = materialize(read_pages.dropDuplicates(["host", "body"]))
-    return _constant(distinct.select("host", F.col("body").alias("who"), "keys"))
+    common = _constant(distinct.select("host", F.col("body").alias("who"), "keys"))
+    # Pages that hold little besides what most of the host's pages share may be copies of one article: they count once for each such article.
+    held = _by_host(distinct, common, 8 * F.size("template")).withColumn("shared", F.filter(F.arrays_zip("keys", "lengths"), lambda b: F.array_contains("template", b["keys"])))
+    n_shared = F.aggregate("shared", F.lit(0).cast("long"), lambda n, b: n + b["lengths"])
+    n_own = F.aggregate("lengths", F.lit(0).cast("long"), lambda n, length: n + length) - n_shared
+    longest = F.array_max(F.transform("shared", lambda b: F.struct(b["lengths"], b["keys"])))["keys"]
+    own = n_own * F.when(F.col("pages") < LEAST_PAGES, 1).otherwise(OWN_PART) >= n_shared
+    return _constant(held.select("host", F.when(own, F.col("body")).otherwise(longest).alias("who"), F.col("shared")["keys"].alias("keys")))
 
 
 def _constant(pages: DataFrame) -> DataFrame:
     """host, template (keys met on enough of the host's pages) and pages (their number), from host, who and keys."""
     total = pages.groupBy("host").agg(F.count_distinct("who").alias("pages"))
     met = pages.select("host", "who", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count_distinct("who").alias("n"))
-    often = _by_host(met.filter(F.col("n") > 1), materialize(total), F.lit(0)).filter((F.col("n") >= LEAST_PAGES) & (2 * F.col("n") > F.col("pages")))
+    often = _by_host(met.filter(F.col("n") > 1), materialize(total), F.lit(0)).filter((F.col("n") >= F.least(F.lit(LEAST_PAGES), F.col("pages"))) & (2 * F.col("n") > F.col("pages")))
     # At most twice the blocks of a page per host.
     return materialize(often.groupBy("host").agg(F.collect_list("key").alias("template"), F.max("pages").alias("pages")))
 

@@ -66,3 +66,19 @@ def test_repeated_articles_are_no_template(spark):
     assert all(got[k] == article for k in [*range(4), *range(40, 45)])
     assert all(got[k] == f"{article}\n\nSeen on day {k}." for k in [*range(4, 8), 30, 31])
     assert all(got[k] == f"n{k}\n\nA short story of n{k} that no other page tells." for k in (8, 9, 10, 20, 21))
+
+
+def test_long_pages_are_matched_as_short_ones(spark):
+    page = lambda k, n: "<div>" + "".join(f"<p>Paragraph {i} of page {k}.</p>" for i in range(n)) + "<p>Our notice to all readers.</p></div>"
+    for n, m in ((30, 22), (300, 250)):
+        same = [x.text for x, y in align(parse(page(1, n)), parse(page(2, m))) if x.text == y.text]
+        assert same == ["Our notice to all readers."]
+    deep = "<div>" * 3000 + "x"
+    assert [x.text for x, _ in align(parse(deep), parse(deep))] == ["x"]
+    rows = [(k, f"http://h.example/{k}", page(k, n)) for k, n in enumerate((400, 3, 30, 1, 250, 7))]
+    got = extracted(spark, rows)
+    assert all(got[k] == "\n\n".join(f"Paragraph {i} of page {k}." for i in range(n)) for k, n in enumerate((400, 3, 30, 1, 250, 7)))
+    # What matching of two pages finds constant has one path and text, so that the count over all pages finds it.
+    a, b = parse(page(1, 30)), parse(page(2, 22))
+    blocks(a), blocks(b)
+    assert all((x.text == y.text) == (x.key == y.key) for x, y in align(a, b))

@@ -199,56 +199,47 @@ def blocks(root: Node) -> list[Node]:
     return out
 
 
+#: Weight of a mapped pair of nodes; of mappings of equal size the one with more equal texts wins.
+_PAIR = 1 << 32
+
+
 def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Pairs of text blocks that simple tree matching maps onto each other."""
-    sizes: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
-
-    def match(x: Node, y: Node) -> int:
-        if x.tag != y.tag or x.out != y.out:
-            return 0
-        if (id(x), id(y)) in sizes:
-            return sizes[id(x), id(y)][0]
-        p, q = x.children, y.children
-        pairs: list[tuple[int, int]] = []
-        total = 1
-        lo = 0
-        if len(p) * len(q) > 400:  # long runs: equal ends by position, the rest by the table below in bands
-            while lo < min(len(p), len(q)) and p[lo].tag == q[lo].tag and p[lo].out == q[lo].out:
-                total += match(p[lo], q[lo])
-                pairs.append((lo, lo))
-                lo += 1
-        p2, q2 = p[lo:], q[lo:]
-        if len(p2) * len(q2) > 40_000:
-            p2, q2 = [], []
-        if p2 and q2:
-            w = [[match(u, v) for v in q2] for u in p2]
-            best = [[0] * (len(q2) + 1) for _ in range(len(p2) + 1)]
-            for i, row in enumerate(w):
-                for j, s in enumerate(row):
-                    best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + s)
-            i, j = len(p2), len(q2)
-            while i and j:
-                if w[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + w[i - 1][j - 1]:
-                    pairs.append((lo + i - 1, lo + j - 1))
-                    i, j = i - 1, j - 1
-                elif best[i][j] == best[i - 1][j]:
-                    i -= 1
-                else:
-                    j -= 1
-            total += best[-1][-1]
-        sizes[id(x), id(y)] = (total, pairs)
-        return total
-
-    if not match(a, b):
+    """Pairs of text blocks that simple tree matching maps onto each other: the full table at any size of page."""
+    if a.tag != b.tag or a.out != b.out:
         return []
-    out, todo = [], [(a, b)]
+    weights: dict[tuple[int, int], int] = {}
+    pairs: dict[tuple[int, int], list[tuple[Node, Node]]] = {}
+    todo = [(a, b, False)]
     while todo:
-        x, y = todo.pop()
+        x, y, ready = todo.pop()
+        if not ready:  # first all pairs of children, then this pair
+            todo.append((x, y, True))
+            todo.extend((u, v, False) for u in x.children for v in y.children if u.tag == v.tag and u.out == v.out)
+            continue
+        p, q = x.children, y.children
+        w = [[weights.get((id(u), id(v)), 0) for v in q] for u in p]
+        best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+        for i, row in enumerate(w):
+            for j, s in enumerate(row):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + s)
+        mapped = []
+        i, j = len(p), len(q)
+        while i and j:
+            if w[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + w[i - 1][j - 1]:
+                mapped.append((p[i - 1], q[j - 1]))
+                i, j = i - 1, j - 1
+            elif best[i][j] == best[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        weights[id(x), id(y)] = _PAIR + (x.tag == "#" and x.text == y.text) + best[-1][-1]
+        pairs[id(x), id(y)] = mapped
+    out, down = [], [(a, b)]
+    while down:
+        x, y = down.pop()
         if x.tag == "#":
             out.append((x, y))
-        for i, j in sizes[id(x), id(y)][1]:
-            match(x.children[i], y.children[j])
-            todo.append((x.children[i], y.children[j]))
+        down.extend(pairs[id(x), id(y)])
     return out
 
 

@@ -82,3 +82,20 @@ def test_long_pages_are_matched_as_short_ones(spark):
     a, b = parse(page(1, 30)), parse(page(2, 22))
     blocks(a), blocks(b)
     assert all((x.text == y.text) == (x.key == y.key) for x, y in align(a, b))
+
+
+def test_skipped_elements_without_end_tag():
+    article = "<article><h1>Head</h1><p>Body text.</article>"
+    for tag in ("button", "object", "svg", "math", "noscript", "select", "canvas", "video", "map", "datalist", "template", "option"):
+        assert main_text(f"<div><{tag}>lost</div>{article}") == "Head\n\nBody text.", tag
+        assert main_text(f"<{tag}>lost{article}") == "Head\n\nBody text.", tag
+        assert main_text(f"<{tag}>lost{article}<{tag}>lost</{tag}><p>End.") == "Head\n\nBody text.\n\nEnd.", tag
+        assert main_text(f"<p>Start <{tag}>lost</{tag}>goes on.</p>{article}") == "Start goes on.\n\nHead\n\nBody text.", tag
+    assert main_text(f"<input list=x><datalist id=x><option value=a>A<option value=b>B</datalist>{article}") == "Head\n\nBody text."
+    assert main_text(f"<datalist><option value=a><option value=b></datalist>plain text{article}") == "plain text\n\nHead\n\nBody text."
+    assert main_text(f"<select><option>a<optgroup><option>b</select>{article}") == "Head\n\nBody text."
+    assert main_text(f"<noscript><div><p>lost</p></div></noscript><button><div>lost</div></button><svg><foreignObject><p>lost</p></foreignObject><g>lost</g></svg>{article}") == "Head\n\nBody text."
+    assert main_text(f"<svg><path d='x'><p>kept</p>{article}") == "kept\n\nHead\n\nBody text."
+    assert main_text(f"<object>lost<object>lost</object><p>lost</p></object>{article}") == "Head\n\nBody text."
+    assert main_text("<head><title>t</title><meta charset=utf-8>Plain <b>text</b> without a body tag") == "Plain text without a body tag"
+    assert main_text("<svg>" * 20_000 + article) == "Head\n\nBody text."

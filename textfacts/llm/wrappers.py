@@ -30,8 +30,17 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 #: Elements whose content is no text of the page.
-SKIP = {"noscript", "template", "svg", "canvas", "object", "head", "select", "option", "button", "math", "audio", "video", "map"}
-#: Of these, elements that hold raw text up to their end tag.
+SKIP = {"noscript", "template", "svg", "canvas", "object", "select", "datalist", "option", "button", "math", "audio", "video", "map"}
+#: Of these, elements that cannot stand in one another: a second start tag leaves the first without an end tag.
+FLAT = {"noscript", "select", "datalist", "button"}
+#: Of these, elements that the end tag of an element around them does not end if they have an end tag of their own.
+CLOSED = {"noscript", "template", "object", "select"}
+#: Tags that end an option besides those of blocks; its own end tag may be omitted.
+ENDS_OPTION = {"option", "optgroup", "select", "datalist"}
+#: Start tags that end svg and math, unless in one of their elements that hold HTML.
+ENDS_FOREIGN = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li menu ol p pre s small span strong strike sub sup table tt u ul var".split())
+HOLDS_HTML = {"foreignobject", "desc", "annotation-xml", "mi", "mo", "mn", "ms", "mtext"}
+#: Elements that hold raw text up to their end tag; it is no text of the page either.
 RAW = {"script", "style", "iframe", "title", "textarea", "xmp", "noembed", "noframes"}
 #: Elements that are furniture.
 FURNITURE = {"nav", "footer", "aside", "form", "menu", "dialog", "header"}
@@ -83,12 +92,92 @@ def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+#: Start, end, 1 for an end tag, name ('' for what is no tag, '[' for CDATA) and attributes.
+Token = tuple[int, int, bool, str, str]
+
+
+def _tokens(page: str) -> list[Token]:
+    """The tags of a page in order; a raw element is one token of no name."""
+    out: list[Token] = []
+    at, low = 0, page.lower()
+    while m := _TAG.search(page, at):
+        at = m.end()
+        tag = m[2]
+        if tag is None:
+            out.append((m.start(), at, False, "[" if m[0].startswith("<![CDATA[") else "", m[0]))
+            continue
+        tag = tag.lower()
+        if tag in RAW and not m[1]:
+            # No markup inside; without an end tag the rest of the page belongs to it.
+            end = low.find(f"</{tag}", at)
+            close = page.find(">", end) if end >= 0 else -1
+            at = close + 1 if close >= 0 else len(page)
+            out.append((m.start(), at, False, "", ""))
+            continue
+        out.append((m.start(), at, m[1] == "/", tag, m[3]))
+    return out
+
+
+def _closed(tokens: list[Token]) -> dict[int, int]:
+    """Start tags of skipped elements that have an end tag, and where."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for k, (_, _, end, tag, attributes) in enumerate(tokens):
+        if tag in SKIP:
+            starts = opened.setdefault(tag, [])
+            if end:
+                if starts:
+                    ends[starts.pop()] = k
+            elif not attributes.rstrip().endswith("/"):
+                if tag in FLAT:
+                    starts.clear()
+                starts.append(k)
+    return ends
+
+
+def _behind(tokens: list[Token], k: int, ends: dict[int, int], around: set[str]) -> int:
+    """The first token that is not in the skipped element which token k starts.
+
+    It ends at its own end tag or before the end tag of a block around it; without
+    an end tag of its own it also ends before the next block.
+    """
+    name, end = tokens[k][3], ends.get(k)
+    if end is not None and name in CLOSED:
+        return end
+    inner: dict[str, int] = {}
+    held = 0
+    k += 1
+    while k < len(tokens) and k != end:
+        _, _, closes, tag, _ = tokens[k]
+        if name == "option":
+            if tag in BLOCK or tag in ENDS_OPTION:
+                break
+        elif closes:
+            if tag in HOLDS_HTML:
+                held -= held > 0
+            elif inner.get(tag):
+                inner[tag] -= 1
+            elif tag in around:
+                break
+        elif tag in SKIP and k in ends and (end is None or ends[k] < end):
+            k = ends[k]
+        elif tag in HOLDS_HTML:
+            held += 1
+        elif not held and (tag in ENDS_FOREIGN if name in ("svg", "math") else end is None and tag in BLOCK):
+            break
+        elif end is None and tag in BLOCK:
+            break
+        elif tag in BLOCK:
+            inner[tag] = inner.get(tag, 0) + 1
+        k += 1
+    return k
+
+
 def parse(page: str) -> Node:
     """The block tree of a page: block elements, and '#' leaves with the text of a block."""
     root = Node("html", False)
     stack: list[tuple[str, Node]] = [("html", root)]
     pieces: list[str] = []
-    skip = ""
     depth_article = 0
 
     def flush() -> None:
@@ -106,42 +195,31 @@ def parse(page: str) -> Node:
         depth_article -= sum(t == "article" for t, _ in stack[k:])
         del stack[k:]
 
-    at, low = 0, page.lower()
-    while m := _TAG.search(page, at):
-        if not skip and m.start() > at:
-            pieces.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if not skip and m[0].startswith("<![CDATA["):
-                pieces.append(html_lib.escape(m[0][9:].removesuffix("]]>")))
+    tokens = _tokens(page)
+    ends = _closed(tokens)
+    at = k = 0
+    while k < len(tokens):
+        start, end, closes, tag, attributes = tokens[k]
+        if start > at:
+            pieces.append(page[at:start])
+        at = end
+        k += 1
+        if not tag:
             continue
-        tag = tag.lower()
-        if tag in RAW and not m[1]:
-            # No markup inside; without an end tag the rest of the page belongs to it.
-            end = low.find(f"</{tag}", at)
-            close = page.find(">", end) if end >= 0 else -1
-            at = close + 1 if close >= 0 else len(page)
+        if tag == "[":
+            pieces.append(html_lib.escape(attributes[9:].removesuffix("]]>")))
             continue
-        if skip:
-            if m[1] and tag == skip:
-                skip = ""
-            elif skip == "head" and (tag == "body" or (tag in BLOCK and tag != "html")):
-                skip = ""
-            else:
-                continue
-            if m[1]:
-                continue
-        if m[1]:
+        if closes:
             if tag in BLOCK:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        pop_to(k)
+                for n in range(len(stack) - 1, 0, -1):
+                    if stack[n][0] == tag:
+                        pop_to(n)
                         break
             continue
         if tag in SKIP:
-            if not m[3].rstrip().endswith("/"):
-                skip = tag
+            if not attributes.rstrip().endswith("/"):
+                k = _behind(tokens, k - 1, ends, {t for t, _ in stack[1:]})
+                at = tokens[k][0] if k < len(tokens) else len(page)
             continue
         if tag == "br":
             pieces.append(" ")
@@ -153,20 +231,20 @@ def parse(page: str) -> Node:
         flush()
         if tag in ENDS_P and stack[-1][0] == "p":
             pop_to(len(stack) - 1)
-        if closes := CLOSES.get(tag):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in closes:
-                    pop_to(k)
+        if closed := CLOSES.get(tag):
+            for n in range(len(stack) - 1, 0, -1):
+                if stack[n][0] in closed:
+                    pop_to(n)
                     break
-                if stack[k][0] in ("ul", "ol", "dl", "table"):
+                if stack[n][0] in ("ul", "ol", "dl", "table"):
                     break
         if tag in VOID:
             continue
-        node = Node(tag, stack[-1][1].out or _is_furniture(tag, m[3], depth_article > 0))
+        node = Node(tag, stack[-1][1].out or _is_furniture(tag, attributes, depth_article > 0))
         stack[-1][1].children.append(node)
         stack.append((tag, node))
         depth_article += tag == "article"
-    if not skip and at < len(page):
+    if at < len(page):
         pieces.append(page[at:])
     pop_to(1)
     return root

@@ -2,15 +2,16 @@
 
 A text is cut where a rolling hash of the bytes before a blank says so.  The cut
 depends on content alone, so texts that share a passage share its chunks, and a
-chunk is encoded once per worker and then reused.
+chunk is encoded once per worker and then reused.  With ``CUT_OF_16`` at 15 a chunk
+is about one word.
 
 A chunk encoded on its own need not agree with its place in the whole text.  A
 join is proved exact if the blank at the cut follows a non-blank: the
 vocabulary's splitting rule matches from left to right, lets a blank only begin
-a piece, and looks back at nothing, so no piece crosses such a place.  A join
-without that proof (a run of blanks, or Unicode blanks in the text) is repaired:
-the window around it is re-encoded and grown until both of its ends are proved
-joins, where its ids then agree with those of the neighbouring chunks.
+a piece, and looks back at nothing, so no piece crosses such a place.  At a join
+without that proof (a run of blanks, or Unicode blanks in the text) the chunks are
+merged, before any is encoded, into one that reaches from proved join to proved
+join; nothing is encoded twice.
 """
 
 from __future__ import annotations

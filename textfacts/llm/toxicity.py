@@ -3,8 +3,9 @@
 Inputs of a step are a word vector and the mean of its character-trigram vectors
 (both hashed).  A gated recurrent layer runs in each direction over a window of
 ``WINDOW`` words, attention pools the steps, and a logistic unit scores the
-window.  Windows start every ``STRIDE`` words and cover the whole text; a
-document's score is that of its most toxic window.
+window.  A window starts at every word that has a whole window from there on; a
+document's score is that of its most toxic window.  Training looks at windows that
+start every ``STRIDE`` words.
 
 A label says that a document is toxic, not where.  Training therefore alternates:
 each toxic document teaches by the windows that the network so far finds most
@@ -155,11 +156,11 @@ class Network:
         return float(-(y * np.log(s + 1e-7) + (1 - y) * np.log(1 - s + 1e-7)).mean())
 
 
-def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(lengths: np.ndarray, stride: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, first word, words) of every window over documents with so many words."""
-    count = np.where(lengths > 0, np.maximum(0, -(-(lengths - WINDOW) // STRIDE)) + 1, 0)
+    count = np.where(lengths > 0, np.maximum(0, -(-(lengths - WINDOW) // stride)) + 1, 0)
     doc = np.repeat(np.arange(len(lengths)), count)
-    start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
+    start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * stride
     return doc, start, np.minimum(WINDOW, lengths[doc] - start)
 
 
@@ -222,7 +223,7 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = ROUNDS, seed: int
     net.p["word"][:, 0] = np.clip(odds / 3, -1, 1) * (np.abs(odds) > 1)
     lengths = np.array([len(w) for w in words], np.int64)
     flat = np.fromiter((known[x] for w in words for x in w), np.int64, int(lengths.sum()))
-    doc, start, n = windows(lengths)
+    doc, start, n = windows(lengths, STRIDE)
     at = (np.cumsum(lengths) - lengths)[doc] + start
     steps = np.arange(WINDOW)
     for turn in range(rounds):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def byte_letters() -> dict[str, int]:
+    """The letters that byte-level vocabularies use for the 256 bytes: printable
+    Latin-1 characters stand for themselves, the others follow from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(other)}
+
+
 def fold(id_col: str, modulus: int) -> Column:
     """crc32 of the id's decimal text modulo ``modulus`` (a null id counts as '')."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
@@ -25,15 +34,16 @@ def fold(id_col: str, modulus: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder path that all executors and the driver share.
 
-    ``spark.checkpoint.dir`` names the place; only where it is unset (tests on
-    one machine) a temporary folder is made and remembered in the session.
+    ``spark.checkpoint.dir`` names the place.  Where it is unset a session on one
+    machine gets a temporary folder, remembered in the session; a cluster an error,
+    as its executors share no such folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("textfacts.local.shared.dir", None)
     if not root:
-        root = spark.conf.get("textfacts.local.shared.dir", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="textfacts-shared-")
-            spark.conf.set("textfacts.local.shared.dir", root)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="textfacts-shared-")
+        spark.conf.set("textfacts.local.shared.dir", root)
     return f"{root.rstrip('/')}/textfacts-{uuid.uuid4().hex}"
 
 

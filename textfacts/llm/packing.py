@@ -6,16 +6,21 @@ it is packed.  Best-fit decreasing takes the pieces from long to short and puts
 each into the open window with the least room that still holds it; a segment
 tree over the remaining capacities finds that window.
 
-At scale the pieces are dealt by hash into partitions and each is packed on its
-own: a piece row is 48 bytes, so a partition holds hundreds of thousands, and
-the only loss against one global packing is the last few windows of each.
+At scale the pieces (48 bytes each) are dealt in turn into as many partitions as
+their number asks for, ``PER_TASK`` pieces each whatever the session's settings, and
+each is packed on its own: the only loss against one global packing is the last few
+windows of each partition.
 
 Tokenising dominates.  The vocabulary's rules never look across a blank, so each
-distinct word is encoded by the tokenizer once per worker and remembered.
+distinct word is encoded once per worker and remembered.  A word of Latin letters,
+digits and ASCII signs is merged by the ranks of the vocabulary file (its order of
+ids is its order of merges); any other goes through the tokenizer itself.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import byte_letters, materialize, table
 
 WINDOW = 4096
 END_ID = 2
@@ -34,25 +39,61 @@ END_ID = 2
 CACHE_WORDS = 1_000_000
 #: Texts whose new words are encoded together.
 SLICE = 200
+#: Pieces that one task packs: 1 MB of rows, and thousands of windows against the few that stay open.
+PER_TASK = 20_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
+#: Words whose splitting is the same by these rules as by the vocabulary's: Latin-1 letters need no composing.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Stands for the end of a word in the ranks; no byte of UTF-8 has this value.
+_END = b"\xff"
+_WORD_END = "</w>"
+
+
 class WordTokens:
     """Token ids of texts as little-endian unsigned 32-bit bytes, word by word."""
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.limit, self.known = limit, {}
+        letters = byte_letters()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.marks = [t["content"] for t in spec["added_tokens"]]
+        ranks = {}
+        for token, i in spec["model"]["vocab"].items():
+            ends = token != _WORD_END and token.endswith(_WORD_END)
+            body = token.removesuffix(_WORD_END) if ends else token
+            if all(c in letters for c in body):
+                ranks[bytes(letters[c] for c in body) + _END * ends] = i
+        self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
+    def _add(self, words: list[str]) -> None:
+        """Remembers the ids of new words."""
+        known, merge, other = self.known, self.merge, []
+        for word in words:
+            if _PLAIN.fullmatch(word) and not any(m in word for m in self.marks):
+                ids = [i for piece in _PIECES.findall(word.lower()) for i in merge(piece.encode() + _END)]
+                known[word] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                other.append(word)
+        for at in range(0, len(other), 10_000):
+            some = other[at : at + 10_000]
+            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                known[word] = struct.pack(f"<{len(ids)}I", *ids) if (ids := got.ids) else b""
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         # Only blanks that the vocabulary's own rules treat as blanks split; others stay inside a "word".
         words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
@@ -61,10 +102,7 @@ class WordTokens:
         if len(known) + len(new) > self.limit:
             known.clear()
             new = list(set().union(*words))
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[word] = struct.pack(f"<{len(ids)}I", *ids) if (ids := got.ids) else b""
+        self._add(new)
         return [b"".join(map(known.__getitem__, w)) for w in words]
 
 
@@ -153,8 +191,11 @@ def pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 
 
-def pack(cuts: DataFrame, *, window: int = WINDOW) -> DataFrame:
-    """Adds sequence_id (unique, not gapless over partitions) and offset to pieces."""
+def pack(cuts: DataFrame, *, window: int = WINDOW, per_task: int = PER_TASK) -> DataFrame:
+    """Adds sequence_id (unique, not gapless over partitions) and offset to pieces.
+
+    Pieces are dealt in turn, so copies of a row spread like any others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -171,7 +212,8 @@ def pack(cuts: DataFrame, *, window: int = WINDOW) -> DataFrame:
         rows = rows.append_column("sequence_id", pa.array(sequence + first)).append_column("offset", pa.array(offset))
         yield from rows.to_batches(max_chunksize=50_000)
 
-    return cuts.repartition(F.xxhash64("doc_id", "start", "ids_crc32")).mapInArrow(run, PACKED)
+    cuts = materialize(cuts)  # encoded once: the number of pieces decides the number of tasks
+    return cuts.repartition(max(1, -(-cuts.count() // per_task))).mapInArrow(run, PACKED)
 
 
 def pack_documents(docs: DataFrame, path: str, **options) -> DataFrame:

@@ -1,25 +1,26 @@
 """Byte-pair encoding and decoding with content-defined chunk reuse.
 
-A text is cut where a rolling hash of the bytes before a blank says so.  The cut
-depends on content alone, so texts that share a passage share its chunks, and a
-chunk is encoded once per worker and then reused.  With ``CUT_OF_16`` at 15 a chunk
-is about one word.
-
-A chunk encoded on its own need not agree with its place in the whole text.  A
-join is proved exact if the blank at the cut follows a non-blank: the
-vocabulary's splitting rule matches from left to right, lets a blank only begin
-a piece, and looks back at nothing, so no piece crosses such a place.  At a join
-without that proof (a run of blanks, or Unicode blanks in the text) the chunks are
-merged, before any is encoded, into one that reaches from proved join to proved
-join; nothing is encoded twice.
+A text is cut where a rolling hash of the bytes before a place says so: before a
+blank or before a character beyond ASCII, at one in ``CUT_ONE_IN`` of these places,
+which makes chunks of about a kilobyte.  The cuts depend on content alone, so texts
+that share a passage share its chunks; a worker encodes a chunk once and remembers
+the ids of the latest ``CACHE_BYTES`` of chunks over all its tasks and texts.
+
+A chunk encoded on its own need not agree with its place in the whole text.  The
+join of two chunks is kept only if it is at a *seam*: a blank after a printable ASCII
+character, or a Han letter after a stop.  The vocabulary's splitting rule matches from
+left to right, lets a blank only begin a piece, keeps signs from letters and looks at
+most one character ahead, so every encoding of any text around a seam splits there.  At other joins the ends of both chunks are encoded
+again as one window, from seam to seam.  The window grows, twice as many ids on each
+side at a time, until its first and last id agree with those of the two chunks; what
+is outside of it is then right.  A window that reaches a whole chunk goes on
+into the next one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import re
-import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,94 +29,141 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import byte_letters, table
 
-#: Bytes under the rolling hash, and how many of its 16 residues make a cut.
-HASH_WINDOW = 4
-CUT_OF_16 = 15
-#: Chunks a worker remembers, over all its tasks; beyond that it starts anew (about 200 MB).
-CACHE_CHUNKS = 1_000_000
-
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-_UNICODE_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
-
-def byte_letters() -> dict[str, int]:
-    """The letters that byte-level vocabularies use for the 256 bytes: printable
-    Latin-1 characters stand for themselves, the others follow from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(other)}
+#: Bytes under the rolling hash, and the share of the places it looks at that it cuts.
+HASH_WINDOW = 8
+CUT_ONE_IN = 128
+#: Bytes of chunks and ids that a worker remembers, over all its tasks; the chunks unused for longest go.
+CACHE_BYTES = 64 << 20
+#: Ids on each side of a join in its first window.
+FIRST_WINDOW = 4
+#: The splitting rule that the vocabulary file names ("ByteLevel").
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_BLANKS = b"\t\n\x0b\x0c\r "
+#: Signs before Han letters (U+5000 to U+9FFF): a piece has either signs or letters.
+_STOPS = {c.encode() for c in "、。，！？"}
 
 
 class ChunkCodec:
     """encode: text -> ids as little-endian unsigned 32-bit bytes; decode: back."""
 
-    def __init__(self, path: str, *, hash_window: int = HASH_WINDOW, cut_of_16: int = CUT_OF_16, limit: int = CACHE_CHUNKS):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, *, hash_window: int = HASH_WINDOW, cut_one_in: int = CUT_ONE_IN, limit: int = CACHE_BYTES):
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.hash_window, self.cut_of_16, self.limit = hash_window, cut_of_16, limit
-        self.known: dict[bytes, bytes] = {}
-        self.repaired = 0
+        self.hash_window, self.cut_one_in, self.limit = hash_window, cut_one_in, limit
+        self.known: dict[bytes, np.ndarray] = {}
+        self.held = 0
+        #: Chunks met, chunks taken from memory, joins encoded again and windows that took.
+        self.met = self.reused = self.repaired = self.windows = 0
         letters = byte_letters()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        size = 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
-        self.bytes_of: list[bytes] = [b""] * size
-        for token, i in spec["model"]["vocab"].items():
-            self.bytes_of[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-        for t in spec["added_tokens"]:
-            self.bytes_of[t["id"]] = t["content"].encode()
-
-    def cuts(self, text: str, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Where the rolling hash cuts, and which of these joins are proved exact."""
+        self.marks = {t["content"]: np.array([t["id"]], "<u4") for t in spec["added_tokens"]}
+        marks = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in marks}
+        self.encoding = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=marks)
+        self.size = np.zeros(1 + max(*ranks.values(), *marks.values()), np.int64)
+        for token, i in ranks.items():
+            self.size[i] = len(token)
+
+    def cuts(self, data: bytes) -> list[int]:
+        """Where the rolling hash cuts."""
         b = np.frombuffer(data, np.uint8)
-        blank = _BLANK[b]
-        at = np.flatnonzero(blank)
-        at = at[at > 0]
+        at = np.flatnonzero((b == 32) | (b == 10) | (b >= 0xC0))
+        at = at[at >= self.hash_window]
         rolled = np.zeros(len(at), np.uint32)
         for k in range(1, self.hash_window + 1):
-            rolled = rolled * np.uint32(0x01000193) + np.where(at >= k, b[at - np.minimum(k, at)], 0).astype(np.uint32)
+            rolled = rolled * np.uint32(0x01000193) + b[at - k]
         rolled *= np.uint32(0x9E3779B1)
-        at = at[(rolled >> np.uint32(28)) < self.cut_of_16]
-        before = at - 1
-        exact = ~blank[before]
-        if not text.isascii() and _UNICODE_BLANK.search(text):
-            exact &= b[before] < 0x80
-        return at, exact
-
-    def chunks(self, text: str) -> list[bytes]:
-        """The text in chunks that may each be encoded alone."""
-        data = text.encode()
-        at, exact = self.cuts(text, data)
-        self.repaired += len(at) - int(exact.sum())
-        # A window around unproved joins reaches from proved join to proved join.
-        ends = [*at[exact].tolist(), len(data)]
-        return [data[i:j] for i, j in zip([0, *ends], ends)]
+        return at[rolled < np.uint32(0xFFFFFFFF // self.cut_one_in)].tolist()
+
+    def _ids(self, data: bytes) -> np.ndarray:
+        return np.array(self.encoding.encode_ordinary(data.decode()), "<u4")
+
+    def _chunk(self, data: bytes) -> np.ndarray:
+        self.met += 1
+        ids = self.known.pop(data, None)
+        if ids is None:
+            ids = self._ids(data)
+            self.held += len(data) + ids.nbytes
+            while self.held > self.limit and self.known:
+                oldest = next(iter(self.known))
+                self.held -= len(oldest) + self.known.pop(oldest).nbytes
+        else:
+            self.reused += 1
+        self.known[data] = ids
+        return ids
+
+    @staticmethod
+    def _seam(data: bytes, at: int) -> bool:
+        """Whether all encodings of texts around this place split there."""
+        if at in (0, len(data)):
+            return True
+        here = data[at]
+        return here in _BLANKS and 0x21 <= data[at - 1] <= 0x7E or 0xE5 <= here <= 0xE9 and data[at - 3 : at] in _STOPS
+
+    def _repair(self, data: bytes, left: list[np.ndarray], join: int, right: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids up to the end of a window around the join, and the right chunk's ids after it.
+
+        ``left`` are the ids from a seam to data[join], in parts; ``right`` those of
+        data from there.  None if the window would have to grow beyond the right chunk.
+        """
+        before = left[0] if len(left) == 1 else np.concatenate(left)
+        k = FIRST_WINDOW
+        while True:
+            i, j = max(0, len(before) - k), min(len(right), k)
+            lo, hi = join - int(self.size[before[i:]].sum()), join + int(self.size[right[:j]].sum())
+            while i and not self._seam(data, lo):
+                i -= 1
+                lo -= int(self.size[before[i]])
+            while j < len(right) and not self._seam(data, hi):
+                hi += int(self.size[right[j]])
+                j += 1
+            if j == len(right) and hi < len(data):
+                return None
+            self.windows += 1
+            ids = self._ids(data[lo:hi])
+            if (i == 0 or ids[0] == before[i]) and (j == len(right) or ids[-1] == right[j - 1]):
+                self.repaired += 1
+                return np.concatenate([before[:i], ids]), right[j:]
+            k *= 2
 
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        parts = [self.chunks(t) for t in texts]
-        known = self.known
-        new = list(set().union(*parts).difference(known))
-        if len(known) + len(new) > self.limit:
-            known.clear()
-            new = list(set().union(*parts))
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for chunk, got in zip(some, self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)):
-                known[chunk] = struct.pack(f"<{len(ids)}I", *ids) if (ids := got.ids) else b""
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        return self.encode_ids(text).tobytes()
+
+    def encode_ids(self, text: str) -> np.ndarray:
+        for mark, of_mark in self.marks.items():
+            if mark in text:  # the library takes these out first and encodes what is between them alone
+                parts = [of_mark] * (2 * (n := len(between := text.split(mark))) - 1)
+                parts[::2] = [self.encode_ids(between[k]) for k in range(n)]
+                return np.concatenate(parts)
+        data = text.encode()
+        ends = [*self.cuts(data), len(data)]
+        done: list[np.ndarray] = []  # ids up to the last seam
+        open_: list[np.ndarray] = []  # ids from there to ``join``
+        join = k = 0
+        while k < len(ends):
+            end = ends[k]
+            ids = self._chunk(data[join:end])
+            if self._seam(data, join):
+                done += open_
+                open_ = [ids]
+            else:
+                # A window beyond this chunk: the chunk and the next are taken as one, then the next two, four ...
+                more = 1
+                while (fixed := self._repair(data, open_, join, ids)) is None:
+                    k = min(k + more, len(ends) - 1)
+                    more *= 2
+                    end = ends[k]
+                    ids = self._ids(data[join:end])
+                open_ = list(fixed)
+            join = end
+            k += 1
+        return np.concatenate([*done, *open_]) if done or open_ else np.zeros(0, "<u4")
 
     def decode(self, ids: bytes) -> str:
-        bytes_of = self.bytes_of
-        return b"".join([bytes_of[i] for i in struct.unpack(f"<{len(ids) // 4}I", ids)]).decode("utf-8", "replace")
+        return self.encoding.decode_bytes(np.frombuffer(ids, "<u4").tolist()).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -131,7 +179,7 @@ def encode_texts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
         codec = chunk_codec(path)
         for batch in batches:
             for rows in _slices(batch):
-                ids = [np.frombuffer(raw, "<u4").astype(np.int32) for raw in codec.encode_all([t or "" for t in rows.column(1).to_pylist()])]
+                ids = [codec.encode_ids(t or "").astype(np.int32) for t in rows.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -163,7 +211,8 @@ def digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
         for batch in batches:
             n, of_ids, of_text = [], [], []
             for rows in _slices(batch):
-                for ids in codec.encode_all([t or "" for t in rows.column(1).to_pylist()]):
+                for text in rows.column(1).to_pylist():
+                    ids = codec.encode(text or "")
                     n.append(len(ids) // 4)
                     of_ids.append(hashlib.sha256(ids).hexdigest())
                     of_text.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())

@@ -4,7 +4,7 @@ import random
 import re
 from collections import Counter
 
-from textfacts.llm.quality import CARRY, quality_verdicts
+from textfacts.llm.quality import CARRY, keep_quality, quality_verdicts
 
 
 def base(text):
@@ -45,5 +45,18 @@ def test_measures_and_verdicts(spark):
             assert not m["kept"] and not m["base_failed"]
 
 
+def test_names_that_clash(spark):
+    """A column named like the added struct, or like its parts, is kept as it is."""
+    rows, _, _ = corpus()
+    docs = spark.createDataFrame([(r[0], r[1], r[2], r[3], "mine", "limit", "odd") for r in rows], f"doc_id long, text string, lang string, source string, {CARRY} string, __limit_lang string, `a.b` string").drop("a.b")
+    plain = quality_verdicts(docs.select("doc_id", "text", "lang", "source"))
+    got = quality_verdicts(docs)
+    assert got.columns[:-1] == docs.columns and got.columns[-1] not in docs.columns
+    key = lambda r: str((r[0], r[1], r[2]))
+    assert sorted((key(r), r[-1].kept) for r in got.collect()) == sorted((key(r), r[-1].kept) for r in plain.collect())
+    stays = keep_quality(docs)
+    assert stays.columns == docs.columns and stays.count() == plain.filter(f"{CARRY}.kept").count()
+
+
 def test_empty(spark):
     assert quality_verdicts(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0

@@ -31,6 +31,13 @@ def fold(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def fresh_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until no column starts with it."""
+    while any(c.lower().startswith(name.lower()) for c in docs.columns):
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder path that all executors and the driver share.
 
@@ -66,14 +73,14 @@ def keep_rows(docs: DataFrame, decisions: DataFrame, key: Column, *, id_col: str
     Rows are found by id and text key.  Of rows repeated with both equal, one stays
     where the decision keeps only one.
     """
+    own = fresh_name(docs, "__keep_")
     by_row = materialize(decisions.groupBy("doc_id", "key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
-    gone = by_row.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"), F.col("key").alias("__gone_key"))
+    gone = by_row.filter(~F.col("kept")).select(F.col("doc_id").alias(f"{own}id"), F.col("key").alias(f"{own}gone"))
     counts = by_row.agg(F.count(F.when(~F.col("kept"), 1)).alias("gone"), F.count(F.when(F.col("kept") & (F.col("n") > 1), 1)).alias("doubled")).first()
     if counts["gone"] <= BROADCAST_DROPPED:
         gone = F.broadcast(gone)
-    columns = docs.columns
-    rows = docs.withColumn("__row_key", key)
-    rows = rows.join(gone, (rows["__row_key"] == gone["__gone_key"]) & rows[id_col].eqNullSafe(gone["__gone_id"]), "left_anti")
+    rows = docs.withColumn(f"{own}key", key)
+    rows = rows.join(gone, (F.col(f"{own}key") == F.col(f"{own}gone")) & rows[id_col].eqNullSafe(F.col(f"{own}id")), "left_anti")
     if counts["doubled"]:
-        rows = rows.dropDuplicates([id_col, "__row_key"])
-    return rows.select(*[rows[c] for c in columns])
+        rows = rows.dropDuplicates([id_col, f"{own}key"])
+    return rows.drop(f"{own}key")

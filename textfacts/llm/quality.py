@@ -1,11 +1,15 @@
 """Quality rules with adaptive thresholds.
 
 Each text is measured by built-in expressions over its own row (no shuffle, no
-Python).  The measures that carry a verdict become mergeable quantile sketches
+Python).  The measures that set thresholds become mergeable quantile sketches
 per (lang, source): a histogram whose buckets have a relative width of 1/64, so
 sketches merge by adding counts, in any order, with the same result.  Thresholds
 come from the sketch's quartiles and are joined back to every row.
 
+The table is read twice: once for the sketches, which need no repeated windows, and
+once for the verdicts.  Nothing in between holds a text, so no copy of the table is
+written and a row with all its columns passes through once.
+
 A sketch over fewer than ``MIN_ROWS`` rows says little about its source: it is
 merged with those of its language, and then with all, until there are enough.
 """
@@ -16,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import fresh_name, materialize, table
 
 WINDOW = 5
 MIN_ROWS = 50
@@ -74,23 +78,33 @@ def _repeat_words() -> str:
     return f"CASE WHEN size(words) > {WINDOW} THEN {maybe} ELSE 0L END"
 
 
-def measure(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``docs`` with one more column, the struct ``CARRY`` of counts and measures."""
+def verdict_column(docs: DataFrame) -> str:
+    """The name of the struct that :func:`quality_verdicts` adds to ``docs``: ``CARRY``, or a longer one if that is taken."""
+    return fresh_name(docs, CARRY)
+
+
+def measure(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", repeats: bool = True) -> DataFrame:
+    """``docs`` with one more column, the struct ``verdict_column(docs)`` of counts and measures.
+
+    Without ``repeats`` the struct lacks the two counts that need the repeated windows.
+    """
+    name = verdict_column(docs)
     t = f"coalesce(`{text_col}`, '')"
     words = f"array_remove(split({_blanked(t)}, ' '), '')"
     blanks = "' \\t\\u000B\\u000C\\r'"
     lines = f"filter(split({t}, '\\n'), x -> trim(BOTH {blanks} FROM x) <> '')"
-    of_words = _let(words, "words", f"struct(cast(size(words) as bigint) AS n_words, cast(length(array_join(words, '')) as bigint) AS word_chars, {_repeat_words()} AS n_repeat_words)")
+    of_words = _let(words, "words", "struct(cast(size(words) as bigint) AS n_words, cast(length(array_join(words, '')) as bigint) AS word_chars" + (f", {_repeat_words()} AS n_repeat_words)" if repeats else ")"))
     of_lines = _let(lines, "lines", "struct(cast(size(lines) as bigint) AS n_lines, cast(size(lines) - size(array_distinct(lines)) as bigint) AS n_dup_lines)")
     symbols = f"cast(length({t}) - length({_strip(t, '#*$%&|<>')}) as bigint)"
     # Columns of their own: the optimizer would inline the parts of one struct into each of their uses.
     parts = {"w": of_words, "l": of_lines, "n_symbols": symbols}
-    counts = docs.withColumns({CARRY + k: F.expr(e) for k, e in parts.items()})
-    c = lambda k: F.col(CARRY + k)
+    counts = docs.withColumns({name + k: F.expr(e) for k, e in parts.items()})
+    c = lambda k: F.col(name + k)
     n_words, some = c("w.n_words"), c("w.n_words") > 0
-    share = lambda top, scale, of: F.when(some, F.expr(f"{CARRY}{top} * {scale}L div {CARRY}{of}")).otherwise(F.lit(0).cast("long"))
+    share = lambda top, scale, of: F.when(some, F.expr(f"{name}{top} * {scale}L div {name}{of}")).otherwise(F.lit(0).cast("long"))
+    repeated = [c("w.n_repeat_words").alias("n_repeat_words"), ((n_words < 10) | (100 * c("w.n_repeat_words") > 20 * n_words)).alias("base_failed")] if repeats else []
     return counts.withColumn(
-        CARRY,
+        name,
         F.struct(
             F.col(lang_col).alias("lang"),
             F.col(source_col).alias("source"),
@@ -98,21 +112,22 @@ def measure(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
             c("w.word_chars").alias("word_chars"),
             c("n_symbols").alias("n_symbols"),
             c("l.n_dup_lines").alias("n_dup_lines"),
-            c("w.n_repeat_words").alias("n_repeat_words"),
-            ((n_words < 10) | (100 * c("w.n_repeat_words") > 20 * n_words)).alias("base_failed"),
+            *repeated,
             share("n_symbols", 1_000_000, "w.n_words").alias("symbols_ppm"),
             share("l.n_dup_lines", 1_000_000, "l.n_lines").alias("dup_lines_ppm"),
             share("w.word_chars", 1000, "w.n_words").alias("word_milli"),
         ),
-    ).drop(*[CARRY + k for k in parts])
+    ).drop(*[name + k for k in parts])
 
 
-def sketch(measured: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """lang, source, measure, bucket, n: mergeable histograms of the rows that have words."""
-    each = F.array(*[F.struct(F.lit(k).alias("measure"), F.col(f"{CARRY}.{k}").alias("x")) for k in SPREAD])
+    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+    measured = measure(rows, repeats=False).select(f"{CARRY}.*")
+    each = F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("x")) for k in SPREAD])
     return (
-        measured.filter(F.col(f"{CARRY}.n_words") > 0)
-        .select(F.col(f"{CARRY}.lang").alias("lang"), F.col(f"{CARRY}.source").alias("source"), F.explode(each).alias("m"))
+        measured.filter(F.col("n_words") > 0)
+        .select("lang", "source", F.explode(each).alias("m"))
         .select("lang", "source", "m.measure", F.expr("greatest(length(bin(m.x)) - 7, 0)").alias("e"), "m.x")
         .select("lang", "source", "measure", F.expr("e * 128L + shiftright(x, e)").alias("bucket"))
         .groupBy("lang", "source", "measure", "bucket")
@@ -147,30 +162,39 @@ def thresholds(histograms: DataFrame) -> DataFrame:
     return fenced.groupBy("lang", "source").agg(*[one(k, x) for k in SPREAD for x in ("low", "high")])
 
 
-def quality_verdicts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", drop: tuple[str, ...] = ()) -> DataFrame:
-    """All rows of ``docs``, its columns but ``drop``, and the struct ``CARRY``, now with ``kept``.
+def quality_verdicts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """All rows of ``docs``, its columns, and the struct ``verdict_column(docs)``, now with ``kept``.
 
     Null and empty texts have no words and fail the base rule; null lang or source
     is a value of its own.  Texts in sources too small for a sketch use the merged
-    sketch of their language, then of all.  Repeated rows are judged alike.  A
-    column named like ``CARRY`` is not allowed; any other name is.
+    sketch of their language, then of all.  Repeated rows are judged alike; an empty
+    table gives an empty result.  Other columns may have any names.
     """
-    measured = materialize(measure(docs, text_col=text_col, lang_col=lang_col, source_col=source_col).drop(*drop))  # measured once, read twice
-    limits = materialize(thresholds(sketch(measured)))
-    limits = limits.withColumnsRenamed({c: f"__limit_{c}" for c in limits.columns})
+    columns = {"text_col": text_col, "lang_col": lang_col, "source_col": source_col}
+    limits = materialize(thresholds(sketch(docs, **columns)))
+    name, limit = verdict_column(docs), fresh_name(docs, "__limit_")
+    limits = limits.withColumnsRenamed({c: limit + c for c in limits.columns})
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
-    q = lambda k: F.col(f"{CARRY}.{k}")
-    joined = measured.join(limits, q("lang").eqNullSafe(F.col("__limit_lang")) & q("source").eqNullSafe(F.col("__limit_source")), "left")
+    q = lambda k: F.col(f"{name}.{k}")
+    joined = measure(docs, **columns).join(limits, q("lang").eqNullSafe(F.col(f"{limit}lang")) & q("source").eqNullSafe(F.col(f"{limit}source")), "left")
     within = F.lit(True)
     for k in SPREAD:
-        within = within & F.coalesce(q(k).between(F.col(f"__limit_low_{k}"), F.col(f"__limit_high_{k}")), F.lit(True))
-    return joined.withColumn(CARRY, F.col(CARRY).withField("kept", ~q("base_failed") & within)).drop(*[c for c in joined.columns if c.startswith("__limit_")])
+        within = within & F.coalesce(q(k).between(F.col(f"{limit}low_{k}"), F.col(f"{limit}high_{k}")), F.lit(True))
+    # One expression over both sides: a filter on it cannot be pushed below the join, where it would measure a text again.
+    kept = F.when(q("base_failed"), F.lit(False)).otherwise(within)
+    return joined.withColumn(name, F.col(name).withField("kept", kept)).select(*docs.columns, name)
+
+
+def keep_quality(docs: DataFrame, **columns) -> DataFrame:
+    """The rows of ``docs`` that are kept, with its own columns."""
+    judged = quality_verdicts(docs, **columns)
+    return judged.filter(F.col(f"{judged.columns[-1]}.kept")).select(*docs.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and adaptive verdict of every document."""
-    rows = quality_verdicts(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), drop=("text", "lang", "source"))
+    rows = quality_verdicts(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return rows.select("doc_id", *[F.col(f"{CARRY}.{k}").alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 

@@ -57,11 +57,11 @@ def corpus(seed=2, families=25, copies=12):
     return [(k * 3, t, "extra") for k, t in enumerate(rows)] + [(None, "lonely row", None), (7, "lonely row", None), (7, "lonely row", None)]
 
 
-@pytest.mark.parametrize("small,node,group", [(32, 512, 256), (4, 8, 5)])
-def test_against_brute_force(spark, monkeypatch, small, node, group):
+@pytest.mark.parametrize("small,node,group,dense", [(512, 512, 256, 0.5), (4, 8, 5, 0.5), (4, 8, 5, 2.0)])
+def test_against_brute_force(spark, monkeypatch, small, node, group, dense):
     monkeypatch.setattr(J, "NODE_BLOCK", node)
     monkeypatch.setattr(J, "GROUP_BLOCK", group)
-    monkeypatch.setattr(J.buckets, "__kwdefaults__", {"small": small, "depth": J.DEPTH})
+    monkeypatch.setattr(J.buckets, "__kwdefaults__", {"small": small, "depth": J.DEPTH, "dense": dense})
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, vid string")
     got = J.near_duplicates(docs).toPandas().astype(object)
@@ -86,6 +86,22 @@ def test_recall_at_the_threshold():
     assert met >= 295
 
 
+def test_runs_for_a_recall():
+    assert J.RUNS == J.runs_for(0.9985) == 5 and J.runs_for(0.9) < J.runs_for(0.999999)
+
+
+def test_dense_nodes(spark):
+    """A family is dense, documents that share a passage are not."""
+    rng = np.random.default_rng(5)
+    word = lambda n: rng.integers(1, 2**63, n).astype(np.uint64)
+    base, passage = word(200), word(60)
+    family = [np.concatenate([base[:190], word(10)]) for _ in range(40)]
+    sharing = [np.concatenate([passage, word(140)]) for _ in range(40)]
+    bits = lambda s: int.from_bytes(np.packbits(np.frombuffer(J.sketch(np.sort(s))[:32], np.uint8) & 1).tobytes(), "little", signed=True)
+    rows = [(1, bits(s)) for s in family] + [(2, bits(s)) for s in sharing]
+    assert [r["node"] for r in J.dense_nodes(spark.createDataFrame(rows, "node long, bits int")).collect()] == [1]
+
+
 def test_common_counts():
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 60, 40)).astype(np.uint64) for _ in range(20)] + [np.zeros(0, np.uint64)]

@@ -7,19 +7,22 @@ Jaccard similarity of their sets is at least 4/5.
 samples tokens of its own set, each with probability ``FANOUT / size`` by a hash
 of node and token, and goes to one child per sampled token: similar sets sample
 the same tokens and stay together, while documents that only share a passage part
-at the next token.  A node with at most ``SMALL`` documents is compared at once;
-a larger one is split again.  A document's path ids up to ``DEPTH`` depend on its
-own set alone, so they are made in one pass over the text, and the recursion is a
-sequence of counts and joins over ids.
+at the next token.  A node with at most ``SMALL`` documents is compared at once.  So
+is a larger one whose documents are on average ``DENSE`` similar: splitting would
+only repeat a family in all its children.  Any other is split again.  A document's
+path ids up to ``DEPTH`` depend on its own set alone, so they are made in one pass
+over the text, and the recursion is a sequence of counts and joins over ids; what is
+left at the last level is compared whatever its size.
 
 *Recall.*  A pair of similarity 0.8 stays together for a level with probability
-0.83 and for three levels with 0.73; ``RUNS`` = 5 independent runs miss it with
-probability 0.0002 to 0.0014.
+0.83 and for three levels with 0.73 on average; runs are repeated until the
+``RECALL`` asked for (see :func:`runs_for`).
 
 *Comparing.*  In a node, min-hash sketches rule out pairs (kept from an estimate
 of 0.6 on: five standard errors below 0.8) and sizes do (ratio under 4/5); what
 is left makes candidate groups through a spanning forest.  Inside each candidate
-group all pairs are then compared exactly on their whole texts.
+group all pairs are then compared exactly on their whole texts.  A text and its
+copies are one vertex, for which one row's text travels.
 
 *Bounds.*  A node or group larger than a block is compared block against block,
 each pair of blocks in a task of its own, so neither a task nor the driver holds
@@ -30,6 +33,7 @@ pairs.  Copies of a text are one vertex throughout.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,18 +45,39 @@ from .common import materialize, table
 from .components import components
 
 SHINGLE = 5
-RUNS = 5
+RECALL = 0.9985
+SIMILARITY = 0.8
 DEPTH = 3
 FANOUT = 2.0
-SMALL = 32
+SMALL = 512
+DENSE = 0.5
 SKETCH = 96
 SKETCH_PASS = 0.6
 #: More open nodes than this (8 bytes each) are joined by a shuffle, not by a broadcast.
 BROADCAST_NODES = 1_000_000
+#: Values of the hash by which rows that carry no vertex's text stay where they are: at most this many (8 bytes each) are broadcast.
+ROW_HASHES = 1 << 21
 #: Documents of a node, or of a candidate group, that one task compares with each other.
 NODE_BLOCK = 512
 GROUP_BLOCK = 256
 
+
+
+def runs_for(recall: float, depth: int = DEPTH, fanout: float = FANOUT) -> int:
+    """Runs after which a pair of similarity ``SIMILARITY`` has met in a leaf with probability ``recall``.
+
+    The pair shares 2s/(1+s) of each set's tokens, so the number of nodes that both
+    go on to from a common node is Poisson with the mean ``fanout`` times that; the
+    chance to share some path of full depth is that of a branching process to last.
+    """
+    mean = fanout * 2 * SIMILARITY / (1 + SIMILARITY)
+    lost = 0.0
+    for _ in range(depth):
+        lost = math.exp(-mean * (1 - lost))
+    return math.ceil(math.log(1 - recall) / math.log(lost))
+
+
+RUNS = runs_for(RECALL)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -126,14 +151,14 @@ def text_key(text: Column) -> Column:
 
 
 def signatures(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, vid (key of the text), n (shingles), nodes, up, level, sketch."""
-    schema = "doc_id long, vid binary, n int, nodes array<long>, up array<int>, level array<int>, sketch binary"
+    """doc_id, vid (key of the text), n (shingles), nodes, up, level, sketch, bits (one of each of 32 min-hashes)."""
+    schema = "doc_id long, vid binary, n int, nodes array<long>, up array<int>, level array<int>, sketch binary, bits int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                vid, n, nodes, up, level, sketches = [], [], [], [], [], []
+                vid, n, nodes, up, level, sketches, bits = [], [], [], [], [], [], []
                 for text in part.column(1):
                     data = (text.as_py() or "").encode()
                     tokens = shingles(data)
@@ -144,33 +169,49 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
                     up.append(path[1])
                     level.append(path[2])
                     sketches.append(sketch(tokens))
+                    bits.append(int.from_bytes(np.packbits(np.frombuffer(sketches[-1][:32], np.uint8) & 1).tobytes(), "little", signed=True))
                 ints = pa.list_(pa.int32())
-                arrays = [part.column(0), pa.array(vid, pa.binary()), pa.array(n, pa.int32()), pa.array(nodes, pa.list_(pa.int64())), pa.array(up, ints), pa.array(level, ints), pa.array(sketches, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "vid", "n", "nodes", "up", "level", "sketch"])
+                arrays = [part.column(0), pa.array(vid, pa.binary()), pa.array(n, pa.int32()), pa.array(nodes, pa.list_(pa.int64())), pa.array(up, ints), pa.array(level, ints), pa.array(sketches, pa.binary()), pa.array(bits, pa.int32())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "vid", "n", "nodes", "up", "level", "sketch", "bits"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def buckets(signed: DataFrame, *, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
-    """node, vid, size of the nodes to compare: those small enough, and what is left at the last level."""
+def dense_nodes(members: DataFrame, *, dense: float = DENSE) -> DataFrame:
+    """The nodes of ``members`` (node, bits) whose documents are ``dense`` similar on average.
+
+    Two sets of similarity s agree in a one-bit min-hash with probability (1 + s) / 2.
+    Bits are summed per node with map-side combining, so no pair is looked at.
+    """
+    ones = [F.sum(F.expr(f"shiftright(bits, {k}) & 1")).alias(f"b{k}") for k in range(32)]
+    summed = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *ones)
+    agree = sum(((F.col(f"b{k}") / F.col("n")) ** 2 + (1 - F.col(f"b{k}") / F.col("n")) ** 2 for k in range(32)), F.lit(0.0)) / 32
+    return summed.filter(2 * agree - 1 >= dense).select("node")
+
+
+def buckets(signed: DataFrame, *, small: int = SMALL, depth: int = DEPTH, dense: float = DENSE) -> DataFrame:
+    """node, vid, size of the nodes to compare: small ones, dense ones, and what is left at the last level."""
     found = None
     opened = None
     for d in range(1, depth + 1):
         entry = F.expr(f"filter(transform(nodes, (x, i) -> CASE WHEN level[i] = {d} THEN struct(x AS node, CASE WHEN up[i] >= 0 THEN nodes[up[i]] END AS parent) END), x -> x IS NOT NULL)")
-        rows = signed.select("vid", F.explode(entry).alias("e")).select("vid", "e.node", "e.parent")
+        rows = signed.select("vid", "bits", F.explode(entry).alias("e")).select("vid", "bits", "e.node", "e.parent")
         if opened is not None:  # children of open nodes only; a child's documents are among its parent's
             rows = rows.join(opened, "parent", "left_semi")
-        rows = rows.select("vid", "node").distinct()
+        rows = rows.select("vid", "bits", "node").distinct()
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
         shared = materialize(rows.join(sizes, "node"))
-        ready = shared if d == depth else shared.filter(F.col("size") <= small)
-        found = ready if found is None else found.unionByName(ready)
-        if d < depth:
-            opened = materialize(shared.filter(F.col("size") > small).select(F.col("node").alias("parent")).distinct())
+        if d == depth:
+            ready = shared
+        else:
+            large = shared.filter(F.col("size") > small)
+            opened = materialize(large.select("node").distinct().join(dense_nodes(large, dense=dense), "node", "left_anti").select(F.col("node").alias("parent")))
             n = opened.count()
-            if not n:
-                break
             opened = F.broadcast(opened) if n <= BROADCAST_NODES else opened
+            ready = shared.join(opened, F.col("node") == F.col("parent"), "left_anti") if n else shared
+        found = ready if found is None else found.unionByName(ready)
+        if d < depth and not n:
+            break
     return found.select("node", "vid", "size")
 
 
@@ -297,6 +338,21 @@ def verify(members: DataFrame) -> DataFrame:
     return dealt.select("grp", "i", "j", "own", "vid", "parts", "text").mapInArrow(run, "grp binary, vid binary, root binary, links long, parts long")
 
 
+def _texts(docs: DataFrame, text: Column, id_col: str, signed: DataFrame, grouped: DataFrame) -> DataFrame:
+    """vid, text of the grouped vertices.
+
+    Of a vertex's copies one row stands for all.  Before anything is shuffled, rows
+    go by a hash of id and text that no such row has; at most ``ROW_HASHES`` values
+    exist, whatever the number of rows.  The join on the vertex decides.
+    """
+    place = lambda vid, doc_id: F.pmod(F.xxhash64(vid, doc_id), F.lit(ROW_HASHES))
+    first = signed.select("vid", "doc_id").join(grouped.select("vid"), "vid").groupBy("vid").agg(F.min("doc_id").alias("doc_id"))
+    places = materialize(first.select(place("vid", "doc_id").alias("place")).distinct())
+    rows = docs.select(text_key(text).alias("vid"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    rows = rows.withColumn("place", place("vid", "doc_id")).join(F.broadcast(places), "place", "left_semi")
+    return rows.groupBy("vid").agg(F.min("text").alias("text"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, class_id, n_links, vid.
 
@@ -314,9 +370,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     groups = components(candidates(in_node.join(vertex, "vid")))
     groups = groups.select(F.col("vertex").alias("vid"), F.col("root").alias("grp"))
     sized = materialize(groups.join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), "grp"))
-    texts = docs.select(text_key(text).alias("vid"), text.alias("text")).join(sized.select("vid"), "vid", "left_semi")
-    texts = texts.groupBy("vid").agg(F.min("text").alias("text"))
-    checked = materialize(verify(sized.join(texts, "vid")))
+    checked = materialize(verify(sized.join(_texts(docs, text, id_col, signed, sized), "vid")))
     # A group of one block is settled by its task; larger ones are joined up over their blocks.
     large = checked.filter((F.col("parts") > 1) & (F.col("vid") != F.col("root")))
     joined = components(large.select(F.col("vid").alias("a"), F.col("root").alias("b"))).select(F.col("vertex").alias("vid"), F.col("root").alias("far_root"))

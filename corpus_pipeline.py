@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textfacts.llm import quality
-from textfacts.llm.common import keep_rows, materialize, table
+from textfacts.llm.common import fresh_name, keep_rows, materialize, table
 from textfacts.llm.exact_dedup import exact_dedup
 from textfacts.llm.language import identify, train, training_rows
 from textfacts.llm.ngram_join import near_duplicates, text_key
 from textfacts.llm.packing import pack_documents
+from textfacts.llm.quality import keep_quality
 
 #: A document stays if one language makes up at least this share of it.
 LEAST_SHARE = 0.5
@@ -23,13 +23,14 @@ LEAST_SHARE = 0.5
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and their source's adaptive thresholds."""
-    return quality.quality_verdicts(docs).filter(F.col(f"{quality.CARRY}.kept")).drop(quality.CARRY)
+    return keep_quality(docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters in which one learned language prevails."""
-    judged = identify(docs, train(training_rows(docs)), prefix="__mixture_")
-    return judged.filter((F.col("__mixture_lang_pred") != "und") & (F.col("__mixture_score") >= LEAST_SHARE)).select(*docs.columns)
+    own = fresh_name(docs, "__mixture_")
+    judged = identify(docs, train(training_rows(docs)), prefix=own)
+    return judged.filter((F.col(f"{own}lang_pred") != "und") & (F.col(f"{own}score") >= LEAST_SHARE)).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,7 @@ def test_gradients():
     net = X.Network(3)
     grams = [X.hashed(w) for w in ("one", "two", "three", "four")]
     ids, mask, y = np.array([[0, 1, 2], [3, 2, 0]]), np.array([[1, 1, 1], [1, 1, 0]], np.float32), np.array([1, 0], np.float32)
+    inside = np.array([[0, 1, 1], [1, 1, 0]], np.float32)
 
     def loss(k, at, eps):
         old = net.p[k][at]
@@ -50,7 +51,7 @@ def test_gradients():
         lengths = [len(g[1]) for g in grams]
         v = np.stack([net.p["word"][g[0]] + net.p["char"][g[1]].mean(axis=0) for g in grams]).astype(np.float32)
         x = v[ids.T]
-        s = net.score(x @ net.p["xf"] + net.p["cf"], x @ net.p["xb"] + net.p["cb"], mask.T)
+        s = net.score(x @ net.p["xf"] + net.p["cf"], x @ net.p["xb"] + net.p["cb"], mask.T, inside.T)
         net.p[k][at] = old
         assert lengths
         return float(-(y * np.log(s) + (1 - y) * np.log(1 - s)).mean())
@@ -58,7 +59,7 @@ def test_gradients():
     picks = [("xf", (2, 5)), ("ub", (1, 20)), ("uf", (3, 2)), ("cb", (9,)), ("a", (4, 3)), ("v", (2,)), ("o", (7,)), ("word", (grams[2][0], 4)), ("char", (grams[0][1][0], 1))]
     want = [(loss(k, at, 1e-2) - loss(k, at, -1e-2)) / 2e-2 for k, at in picks]
     before = {k: v.copy() for k, v in net.p.items()}
-    net.learn(grams, ids, mask, y, 0.0)
+    net.learn(grams, ids, mask, inside, y, 0.0)
     for (k, at), w in zip(picks, want):
         assert 10 * net.m1[k][at] == pytest.approx(w, abs=2e-4), k
     assert all((before[k] == net.p[k]).all() for k in before)

@@ -1,11 +1,15 @@
 """Toxicity scores from a bidirectional gated recurrent network, in numpy.
 
 Inputs of a step are a word vector and the mean of its character-trigram vectors
-(both hashed).  A gated recurrent layer runs in each direction over a window of
-``WINDOW`` words, attention pools the steps, and a logistic unit scores the
-window.  A window starts at every word that has a whole window from there on; a
-document's score is that of its most toxic window.  Training looks at windows that
-start every ``STRIDE`` words.
+(both hashed).  A gated recurrent layer runs in each direction over the text, in
+segments of ``SEGMENT`` words that it enters ``CONTEXT`` words early from either side,
+so every word has one state.  Attention pools the states of a window of ``WINDOW``
+words and a logistic unit scores it.  A window starts at every word that has a whole
+window from there on; a document's score is that of its most toxic window.  All
+overlapping windows share the states of their words, and the weighted sums of a window
+are differences of running sums, so scoring each of them costs no more than one run
+over the text.  Training looks at windows that start every ``STRIDE`` words, with the
+context around them.
 
 A label says that a document is toxic, not where.  Training therefore alternates:
 each toxic document teaches by the windows that the network so far finds most
@@ -31,6 +35,8 @@ from .common import fold, table
 PER_CLASS = 1500
 WINDOW = 32
 STRIDE = 24
+SEGMENT = 64
+CONTEXT = 8
 WORD_BUCKETS = 1 << 14
 CHAR_BUCKETS = 1 << 12
 WIDTH = 12
@@ -38,8 +44,8 @@ HIDDEN = 8
 ROUNDS = 5
 THRESHOLD = 0.7
 CACHE_WORDS = 400_000
-#: Windows that pass through the network together.
-CHUNK = 4096
+#: Training windows, and segments of text, that pass through the network together.
+CHUNK = 2048
 WORDS = re.compile(r"\w+")
 
 
@@ -99,12 +105,29 @@ class Network:
         c = (w[:, :, None] * states).sum(axis=0)
         return _sigmoid(c @ self.p["o"] + self.p["q"][0]), c, w, key
 
-    def score(self, gates_f: np.ndarray, gates_b: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Scores of windows from gate sums (steps, windows, 3 x hidden) of each direction."""
+    def score(self, gates_f: np.ndarray, gates_b: np.ndarray, mask: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """Scores of windows from gate sums (steps, windows, 3 x hidden) of each direction; ``inside``: the window's own steps."""
         states = np.concatenate([self._run(gates_f, mask, "f", None), self._run(gates_b, mask, "b", None)], axis=2)
-        return self.pool(states, mask)[0]
-
-    def learn(self, vectors_of: list, ids: np.ndarray, mask: np.ndarray, y: np.ndarray, rate: float) -> float:
+        return self.pool(states, inside)[0]
+
+    def sweep(self, gates: np.ndarray, first: np.ndarray, lengths: np.ndarray, d: str, out: np.ndarray, base: np.ndarray) -> None:
+        """One direction over segments from long to short: states of ``lengths`` words from gate row ``first`` go to ``out`` from ``base``.
+
+        Only the segments that still have words take part in a step.
+        """
+        H, u = HIDDEN, self.p[f"u{d}"]
+        h = np.zeros((len(first), H), np.float32)
+        active = len(first) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
+        for t, n in enumerate(active.tolist()):
+            at = t if d == "f" else lengths[:n] - 1 - t
+            x = gates[first[:n] + at]
+            hu = h[:n] @ u
+            zr = _sigmoid(x[:, : 2 * H] + hu[:, : 2 * H])
+            new = np.tanh(x[:, 2 * H :] + zr[:, H:] * hu[:, 2 * H :])
+            h = new + zr[:, :H] * (h[:n] - new)
+            out[base[:n] + at] = h
+
+    def learn(self, vectors_of: list, ids: np.ndarray, mask: np.ndarray, inside: np.ndarray, y: np.ndarray, rate: float) -> float:
         """One step of Adam on windows ids (windows, steps) of distinct words ``vectors_of`` (word bucket, trigram buckets)."""
         p, H = self.p, HIDDEN
         wb = np.array([g[0] for g in vectors_of])
@@ -115,7 +138,7 @@ class Network:
         x, mask = table_[ids.T], mask.T
         kept: dict[str, list] = {"f": [], "b": []}
         states = np.concatenate([self._run(x @ p[f"x{d}"] + p[f"c{d}"], mask, d, kept[d]) for d in "fb"], axis=2)
-        s, c, w, key = self.pool(states, mask)
+        s, c, w, key = self.pool(states, inside.T)
         g = {k: np.zeros_like(v) for k, v in p.items()}
         ds = (s - y) / len(y)
         g["o"], g["q"] = c.T @ ds, np.array([ds.sum()], np.float32)
@@ -164,6 +187,16 @@ def windows(lengths: np.ndarray, stride: int = 1) -> tuple[np.ndarray, np.ndarra
     return doc, start, np.minimum(WINDOW, lengths[doc] - start)
 
 
+def segments(lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, first own word, own words, first word run, words run) of every segment."""
+    count = -(-lengths // SEGMENT)
+    doc = np.repeat(np.arange(len(lengths)), count)
+    start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * SEGMENT
+    own = np.minimum(SEGMENT, lengths[doc] - start)
+    lo = np.maximum(start - CONTEXT, 0)
+    return doc, start, own, lo, np.minimum(start + own + CONTEXT, lengths[doc]) - lo
+
+
 class Scorer:
     """Scores whole texts with a fitted network; remembers the gate sums of words."""
 
@@ -188,20 +221,41 @@ class Scorer:
             places.update(zip(new, range(need - len(new), need)))
         return np.fromiter(map(places.__getitem__, words), np.int64, len(words))
 
+    def states(self, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """States (words, 2 x hidden) of the words ``flat`` of documents with so many words."""
+        out = np.zeros((len(flat), 2 * HIDDEN), np.float32)
+        doc, start, own, lo, n = segments(lengths)
+        origin = (np.cumsum(lengths) - lengths)[doc]
+        order = np.argsort(-n, kind="stable")
+        for at in range(0, len(order), CHUNK):
+            k = order[at : at + CHUNK]
+            run = n[k]
+            base = np.cumsum(run) - run
+            gates = self.gates[flat[np.repeat(origin[k] + lo[k] - base, run) + np.arange(run.sum())]]
+            for d, side in enumerate("fb"):
+                got = np.zeros((len(gates), HIDDEN), np.float32)
+                self.network.sweep(gates[:, 3 * HIDDEN * d : 3 * HIDDEN * (d + 1)], base, run, side, got, base)
+                mine = np.arange(own[k].sum()) - np.repeat(np.cumsum(own[k]) - own[k], own[k])
+                out[mine + np.repeat(origin[k] + start[k], own[k]), HIDDEN * d : HIDDEN * (d + 1)] = got[mine + np.repeat(base + start[k] - lo[k], own[k])]
+        return out
+
     def score(self, texts: list[str]) -> np.ndarray:
         """The highest window score of each text; 0 without words."""
         words = [WORDS.findall(t.lower()) for t in texts]
         lengths = np.array([len(w) for w in words], np.int64)
+        out = np.zeros(len(texts))
+        if not lengths.sum():
+            return out
         flat = self.ids([x for w in words for x in w])
-        first = np.cumsum(lengths) - lengths
+        states, p = self.states(flat, lengths), self.network.p
+        weight = np.exp((np.tanh(states @ p["a"]) @ p["v"]).astype(np.float64))
+        sums = np.zeros((2, len(flat) + 1))
+        np.cumsum(weight, out=sums[0, 1:])
+        np.cumsum(weight * (states @ p["o"]), out=sums[1, 1:])
         doc, start, n = windows(lengths)
-        out = np.zeros(len(texts))
-        for at in range(0, len(doc), CHUNK):
-            d, s, k = doc[at : at + CHUNK], start[at : at + CHUNK], n[at : at + CHUNK]
-            steps = np.arange(WINDOW)[:, None]
-            mask = (steps < k).astype(np.float32)
-            gates = self.gates[flat[np.minimum(first[d] + s + steps, len(flat) - 1)]]
-            np.maximum.at(out, d, self.network.score(gates[:, :, : 3 * HIDDEN], gates[:, :, 3 * HIDDEN :], mask))
+        at = (np.cumsum(lengths) - lengths)[doc] + start
+        low, high = sums[:, at], sums[:, at + n]
+        np.maximum.at(out, doc, _sigmoid((high[1] - low[1]) / (high[0] - low[0]) + p["q"][0]))
         return out
 
 
@@ -225,9 +279,14 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = ROUNDS, seed: int
     flat = np.fromiter((known[x] for w in words for x in w), np.int64, int(lengths.sum()))
     doc, start, n = windows(lengths, STRIDE)
     at = (np.cumsum(lengths) - lengths)[doc] + start
+    before = np.minimum(start, CONTEXT)
+    after = np.minimum(lengths[doc] - start - n, CONTEXT)
     steps = np.arange(WINDOW)
     for turn in range(rounds):
-        scores = np.concatenate([_scores(net, grams, flat, at[i : i + CHUNK], n[i : i + CHUNK]) for i in range(0, len(at), CHUNK)]) if turn else odds[np.array([g[0] for g in grams])[flat[np.minimum(at[:, None] + steps, len(flat) - 1)]]].max(axis=1)
+        if turn:
+            scores = np.concatenate([_scores(net, grams, flat, *(v[i : i + CHUNK] for v in (at, n, before, after))) for i in range(0, len(at), CHUNK)])
+        else:
+            scores = odds[np.array([g[0] for g in grams])[flat[np.minimum(at[:, None] + steps, len(flat) - 1)]]].max(axis=1)
         order = np.lexsort((-scores, doc))
         top = order[np.concatenate([[True], doc[order][1:] != doc[order][:-1]])]
         clean = np.flatnonzero(y[doc] == 0)
@@ -236,29 +295,41 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = ROUNDS, seed: int
             rng.shuffle(chosen)
             for i in range(0, len(chosen), 128):
                 w = chosen[i : i + 128]
-                ids = flat[np.minimum(at[w][:, None] + steps, len(flat) - 1)]
+                ids, mask, inside = _windows_of(flat, at[w], n[w], before[w], after[w])
                 distinct, local = np.unique(ids, return_inverse=True)
-                net.learn([grams[k] for k in distinct], local.reshape(ids.shape), (steps < n[w][:, None]).astype(np.float32), y[doc[w]], 0.01 if turn < rounds - 2 else 0.003)
+                net.learn([grams[k] for k in distinct], local.reshape(ids.shape), mask, inside, y[doc[w]], 0.01 if turn < rounds - 2 else 0.003)
     return net
 
 
-def _scores(net: Network, grams: list, flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    ids = flat[np.minimum(at[:, None] + np.arange(WINDOW), len(flat) - 1)]
+def _windows_of(flat: np.ndarray, at: np.ndarray, n: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, ...]:
+    """ids, mask and inside (windows, steps) of windows with the words around them."""
+    steps = np.arange(WINDOW + 2 * CONTEXT)
+    ids = flat[np.minimum((at - before)[:, None] + steps, len(flat) - 1)]
+    mask = steps < (before + n + after)[:, None]
+    inside = (steps >= before[:, None]) & (steps < (before + n)[:, None])
+    return ids, mask.astype(np.float32), inside.astype(np.float32)
+
+
+def _scores(net: Network, grams: list, flat: np.ndarray, at: np.ndarray, n: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    ids, mask, inside = _windows_of(flat, at, n, before, after)
     distinct, local = np.unique(ids, return_inverse=True)
     p = net.p
     lengths = np.array([len(grams[k][1]) for k in distinct])
     chars = np.fromiter((i for k in distinct for i in grams[k][1]), np.int64, int(lengths.sum()))
     v = p["word"][[grams[k][0] for k in distinct]] + np.add.reduceat(p["char"][chars], np.concatenate([[0], np.cumsum(lengths)[:-1]]), axis=0) / lengths[:, None]
     x = v.astype(np.float32)[local.reshape(ids.shape).T]
-    return net.score(x @ p["xf"] + p["cf"], x @ p["xb"] + p["cb"], (np.arange(WINDOW)[:, None] < n).astype(np.float32))
+    return net.score(x @ p["xf"] + p["cf"], x @ p["xb"] + p["cb"], mask.T, inside.T)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``per_class`` labelled rows of each class."""
-    usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
+    """Texts and labels of at most ``per_class`` labelled rows of each class.
+
+    Repeated ids, in either table, teach once: by the least text and the greatest label.
+    """
+    usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = usable.filter("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).union(usable.filter("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class))
     # At most 2 x per_class rows of 12 bytes are broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     return [r["text"] or "" for r in rows], [r["toxic"] for r in rows]
 
 

@@ -27,9 +27,11 @@ from .common import fold, table
 
 #: Labelled documents used per language; the bound of the training sample.
 SAMPLE_PER_LANGUAGE = 1500
+#: More different labels than this are refused: the model of a language takes half a megabyte.
+MOST_LANGUAGES = 500
 BUCKETS = 1 << 16
 #: Words a worker remembers the likelihoods of, over all its tasks.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 ROUNDS = 12
 #: A word that no language explains is drawn from this even background instead,
 #: which keeps one strange word from deciding a document.
@@ -137,10 +139,13 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
 
     Rows are taken in the order of a hash of id and text, so the sample does not
     depend on partitions.  Rows without language or text teach nothing; without
-    any labelled row every prediction is 'und'.
+    any labelled row every prediction is 'und'; more than ``MOST_LANGUAGES`` labels
+    are an error.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} values: no column of languages")
     if not sizes:
         return Model([], np.zeros((0, BUCKETS)))
     # Thin first by the known counts, so that what is then ranked is bounded too.

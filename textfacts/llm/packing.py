@@ -35,8 +35,8 @@ from .common import byte_letters, materialize, table
 
 WINDOW = 4096
 END_ID = 2
-#: Words a worker remembers, over all its tasks; beyond that it starts anew (about 200 MB).
-CACHE_WORDS = 1_000_000
+#: Words a worker remembers, over all its tasks; beyond that it starts anew (about 100 MB).
+CACHE_WORDS = 500_000
 #: Texts whose new words are encoded together.
 SLICE = 200
 #: Pieces that one task packs: 1 MB of rows, and thousands of windows against the few that stay open.

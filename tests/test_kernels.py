@@ -122,3 +122,8 @@ def test_domains():
     for bad in ("-bad", "a..b", "xn--a", "a" * 64):
         with pytest.raises(K.TextFactError):
             P.uts46(bad, "to_ascii")
+
+
+@given(st.text(alphabet=st.one_of(st.sampled_from("ab\r\n é́‍\U0001f468\U0001f467؀กำ한가\U0001f1e9\U0001f1ea\xad\xa9"), st.characters(blacklist_categories=["Cs"])), max_size=30))
+def test_grapheme_count_counts_graphemes(text):
+    assert K.grapheme_count(text) == len(K.graphemes(text))

@@ -6,10 +6,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import kernels as K
 from . import protocol as P
@@ -25,31 +26,41 @@ def _schema(ddl: str) -> T.StructType:
 def _kernel(ddl: str, function: Callable[..., dict], *columns: Column) -> Column:
     """A struct column of ``function`` over the columns' values; each distinct input of a batch is worked out once."""
     schema = _schema(ddl)
+    kind = to_arrow_type(schema)
     names = [f.name for f in schema.fields]
 
-    @F.pandas_udf(schema)
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(schema)
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for batch in batches:
-            series = batch if isinstance(batch, tuple) else (batch,)
-            known: dict[tuple, tuple] = {}
+            arrays = batch if isinstance(batch, tuple) else (batch,)
+            known: dict[tuple, dict] = {}
             rows = []
-            for values in zip(*series):
+            for values in zip(*(a.to_pylist() for a in arrays)):
                 got = known.get(values)
                 if got is None:
-                    if any(v is None for v in values):
-                        got = (None,) * len(names)
+                    if None in values:
+                        got = {}
                     else:
                         try:
-                            got = tuple(function(*values).get(n) for n in names)
+                            got = function(*values)
                         except K.TextFactError as e:
-                            got = (*[None] * (len(names) - 1), {"code": e.code, "message": str(e), "details": e.details})
+                            got = {"error": {"code": e.code, "message": str(e), "details": list(e.details.items())}}
                     known[values] = got
                 rows.append(got)
-            yield pd.DataFrame(rows, columns=names)
+            yield pa.StructArray.from_arrays([pa.array([r.get(n) for r in rows], kind.field(n).type) for n in names], fields=list(kind))
 
     return run(*columns)
 
 
+def _ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
+def _unless(plain: Column, value: Column, c: Column, kernel: Callable[[Column], Column]) -> Column:
+    """``value`` where ``plain`` holds, by SQL alone; the kernel is sent the other texts only."""
+    return F.when(plain, value).otherwise(kernel(F.when(~plain, c)))
+
+
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -85,12 +96,17 @@ def line_endings(c: str | Column) -> Column:
 
 
 def signal_counts(c: str | Column) -> Column:
-    """Counts of bidi controls, default ignorables and format characters."""
+    """Counts of bidi controls, default ignorables and format characters.
+
+    An ASCII text has none.  Of any other text one pass keeps the characters of all
+    three sets, and what is left, mostly nothing, is counted.
+    """
     c = col(c)
-    n = lambda chars: (F.length(c) - F.length(F.regexp_replace(c, "[" + "".join(f"\\x{{{ord(x):X}}}" for x in chars) + "]", ""))).cast("long")
-    ranges = lambda prop: "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in _ranges(U.characters(prop))) + "]"
-    m = lambda prop: (F.length(c) - F.length(F.regexp_replace(c, ranges(prop), ""))).cast("long")
-    return F.struct(n(U.characters("Bidi_Control")).alias("bidi_controls"), m("Default_Ignorable_Code_Point").alias("default_ignorables"), m("gc=Cf").alias("format_characters"))
+    sets = {"bidi_controls": U.characters("Bidi_Control"), "default_ignorables": U.characters("Default_Ignorable_Code_Point"), "format_characters": U.characters("gc=Cf")}
+    inside = lambda chars: "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in _ranges(chars))
+    left = F.when(_ascii(c), F.lit("")).otherwise(F.regexp_replace(c, f"[^{inside(''.join(set().union(*sets.values())))}]+", ""))
+    left = F.when(c.isNotNull(), left)
+    return F.transform(F.array(left), lambda x: F.struct(*[F.length(F.regexp_replace(x, f"[^{inside(chars)}]+", "")).cast("long").alias(name) for name, chars in sets.items()]))[0]
 
 
 def _ranges(chars: str) -> list[tuple[int, int]]:
@@ -145,7 +161,8 @@ def compare(left: str | Column, right: str | Column, locale: str, sensitivity: s
 
 def grapheme_count(c: str | Column) -> Column:
     c = col(c)
-    return _kernel("n long", lambda t: {"n": len(K.graphemes(t))}, c)["n"]
+    plain = _ascii(c) & ~F.contains(c, F.lit("\r"))
+    return _unless(plain, F.length(c).cast("long"), c, lambda x: _kernel("n long", lambda t: {"n": K.grapheme_count(t)}, x)["n"])
 
 
 def inspect(c: str | Column, detail_limit: int = 64) -> Column:
@@ -185,9 +202,12 @@ def normalize(c: str | Column, form: str) -> Column:
 
     def run(t):
         n = K.normalize(t, form)
-        return {"output": n, "changed": n != t, "canonical_equivalent": K.normalize(t, "NFD") == K.normalize(n, "NFD"), "utf8_bytes": len(n.encode())}
+        # NFC and NFD are canonically equivalent to their input by definition.
+        return {"output": n, "changed": n != t, "canonical_equivalent": form in ("NFC", "NFD") or n == t or K.normalize(t, "NFD") == K.normalize(n, "NFD"), "utf8_bytes": len(n.encode())}
 
-    return _kernel("output string, changed boolean, canonical_equivalent boolean, utf8_bytes long", run, col(c))
+    c = col(c)
+    same = F.struct(c.alias("output"), F.lit(False).alias("changed"), F.lit(True).alias("canonical_equivalent"), F.octet_length(c).cast("long").alias("utf8_bytes"), F.lit(None).cast(ERROR).alias("error"))
+    return _unless(_ascii(c), same, c, lambda x: _kernel("output string, changed boolean, canonical_equivalent boolean, utf8_bytes long", run, x))
 
 
 def normalization_witness(c: str | Column, form: str) -> Column:
@@ -199,11 +219,13 @@ def normalization_witness(c: str | Column, form: str) -> Column:
 
 
 def nfkc_casefold(c: str | Column) -> Column:
-    return _kernel("output string", lambda t: {"output": K.nfkc_casefold(t)}, col(c))["output"]
+    c = col(c)
+    return _unless(_ascii(c), F.lower(c), c, lambda x: _kernel("output string", lambda t: {"output": K.nfkc_casefold(t)}, x)["output"])
 
 
 def lowercase(c: str | Column) -> Column:
-    return _kernel("output string", lambda t: {"output": K.lowercase(t)}, col(c))["output"]
+    c = col(c)
+    return _unless(_ascii(c), F.lower(c), c, lambda x: _kernel("output string", lambda t: {"output": K.lowercase(t)}, x)["output"])
 
 
 def transcode(c: str | Column, source: str, target: str, lossy: bool = False) -> Column:

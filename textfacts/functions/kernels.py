@@ -54,6 +54,20 @@ def graphemes(text: str) -> list[str]:
     return regex.findall(r"\X", text)
 
 
+_CLUSTER = regex.compile(r"\X")
+#: Characters from U+0300 on with a neighbour below on either side; two characters below are never in one cluster but CR LF.
+_NEAR_MARKS = regex.compile("[\\x00-\\u02ff]?(?:[^\\x00-\\u02ff]+[\\x00-\\u02ff]?)+")
+
+
+def grapheme_count(text: str) -> int:
+    """Number of clusters; only what stands near a character from U+0300 on is segmented."""
+    text = text.replace("\r\n", "\n")
+    if text.isascii():
+        return len(text)
+    near = _NEAR_MARKS.findall(text)
+    return len(text) - sum(map(len, near)) + sum(len(_CLUSTER.findall(x)) for x in near)
+
+
 def coordinates(text: str) -> list[dict]:
     """One entry per boundary: UTF-8, UTF-16, code point, grapheme, line (from 1), columns."""
     starts, at = set(), 0

@@ -6,8 +6,6 @@ variants with ``replace()``, alike in both engines.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +18,7 @@ from .operators import namespace as N
 from .operators import records as R
 from .operators import source as S
 from .operators.counts import character_counts
+from .sources.shared import shared_path, spread, written
 from .streaming import read_table_stream, run_stream
 
 _SWAPS = {
@@ -52,6 +51,12 @@ def _docs(spark: SparkSession, d: str, *kinds: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "source", _variant("text", *kinds).alias("t"))
 
 
+def _wide(spark: SparkSession, d: str, *kinds: str) -> DataFrame:
+    """The documents over all cores, for queries whose kernels take longer than moving the texts."""
+    rows = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "source", "text"))
+    return rows.select("doc_id", "lang", "source", _variant("text", *kinds).alias("t"))
+
+
 def _d(*kinds: str) -> str:
     return f"(SELECT doc_id, lang, source, {_sql('text', *kinds)} AS t FROM documents) d"
 
@@ -106,51 +111,51 @@ def utf8_base64(spark, d):
 
 @_query(f"SELECT doc_id, length_grapheme(t) AS graphemes FROM {_d('emoji', 'decomposed')}")
 def grapheme_count(spark, d):
-    return _docs(spark, d, "emoji", "decomposed").select("doc_id", C.grapheme_count("t").alias("graphemes"))
+    return _wide(spark, d, "emoji", "decomposed").select("doc_id", C.grapheme_count("t").alias("graphemes"))
 
 
 @_query(f"SELECT doc_id, nfc_normalize(t) <> t AS changed, sha256(nfc_normalize(t)) AS nfc_sha256, strlen(nfc_normalize(t)) AS utf8_bytes FROM {_d('decomposed')}")
 def normalize_nfc(spark, d):
     r = C.normalize("t", "NFC")
-    return _docs(spark, d, "decomposed").select("doc_id", r.alias("r")).select("doc_id", "r.changed", C.digest("r.output").alias("nfc_sha256"), "r.utf8_bytes")
+    return _wide(spark, d, "decomposed").select("doc_id", r.alias("r")).select("doc_id", "r.changed", C.digest("r.output").alias("nfc_sha256"), "r.utf8_bytes")
 
 
 @_query(f"SELECT doc_id, sha256(replace(replace(t, chr(64257), 'fi'), chr(9312), '1')) AS nfkc_sha256 FROM {_d('compat')}")
 def normalize_nfkc(spark, d):
-    return _docs(spark, d, "compat").select("doc_id", C.digest(C.normalize("t", "NFKC")["output"]).alias("nfkc_sha256"))
+    return _wide(spark, d, "compat").select("doc_id", C.digest(C.normalize("t", "NFKC")["output"]).alias("nfkc_sha256"))
 
 
 @_query(f"SELECT doc_id, sha256(lower(replace(replace(replace(t, 'ß', 'ss'), chr(64257), 'fi'), chr(9312), '1'))) AS casefold_sha256 FROM {_d('compat')}")
 def nfkc_casefold(spark, d):
-    return _docs(spark, d, "compat").select("doc_id", C.digest(C.nfkc_casefold("t")).alias("casefold_sha256"))
+    return _wide(spark, d, "compat").select("doc_id", C.digest(C.nfkc_casefold("t")).alias("casefold_sha256"))
 
 
 @_query("SELECT doc_id, sha256(lower(text)) AS lower_sha256 FROM documents")
 def lowercase(spark, d):
-    return _docs(spark, d).select("doc_id", C.digest(C.lowercase("t")).alias("lower_sha256"))
+    return _wide(spark, d).select("doc_id", C.digest(C.lowercase("t")).alias("lower_sha256"))
 
 
 @_query(f"SELECT doc_id, {_n('chr(8238)')} AS bidi_controls, {_n('chr(8203)')} + {_n('chr(8238)')} AS default_ignorables, {_n('chr(8203)')} + {_n('chr(8238)')} AS format_characters FROM {_d('hidden')}")
 def signal_counts(spark, d):
-    return _docs(spark, d, "hidden").select("doc_id", C.signal_counts("t").alias("r")).select("doc_id", "r.*")
+    return _wide(spark, d, "hidden").select("doc_id", C.signal_counts("t").alias("r")).select("doc_id", "r.*")
 
 
 @_query(f"SELECT ch AS character, printf('U+%04X', unicode(ch)) AS label, count(*) AS n FROM (SELECT unnest(string_split(t, '')) AS ch FROM {_d('emoji')}) WHERE ch <> '' GROUP BY ALL")
 def code_point_histogram(spark, d):
-    return character_counts(_docs(spark, d, "emoji"), "t").select("character", C.label("character").alias("label"), "n")
+    return character_counts(_wide(spark, d, "emoji"), "t").select("character", C.label("character").alias("label"), "n")
 
 
 @_query(f"SELECT doc_id, 2 * (length(t) + length(regexp_replace(t, '[\\x{{0}}-\\x{{FFFF}}]', '', 'g'))) AS utf16_bytes, true AS round_trip FROM {_d('emoji')}")
 def transcode_utf16(spark, d):
     r = C.transcode(F.col("t").cast("binary"), "utf-8", "utf-16le")
-    return _docs(spark, d, "emoji").select("doc_id", r.alias("r")).select("doc_id", F.octet_length("r.encoded").cast("long").alias("utf16_bytes"), "r.round_trip")
+    return _wide(spark, d, "emoji").select("doc_id", r.alias("r")).select("doc_id", F.octet_length("r.encoded").cast("long").alias("utf16_bytes"), "r.round_trip")
 
 
 @_query("SELECT doc_id, length(text) AS code_points, CASE WHEN strlen(text) > 0 THEN 1 ELSE 0 END AS replacements FROM documents")
 def transcode_lossy(spark, d):
     """A byte that no text holds, before each text: one replacement, at its place."""
     raw = F.concat(F.unhex(F.lit("FF")), F.col("t").cast("binary"))
-    rows = _docs(spark, d).select("doc_id", C.transcode(raw, "utf-8", "utf-16le", lossy=True).alias("r"))
+    rows = _wide(spark, d).select("doc_id", C.transcode(raw, "utf-8", "utf-16le", lossy=True).alias("r"))
     return rows.select("doc_id", (F.length("r.text") - 1).cast("long").alias("code_points"), F.when(F.length("r.text") > 1, F.size("r.replacements")).otherwise(0).alias("replacements"))
 
 
@@ -173,7 +178,7 @@ def _items(spark, d, *kinds):
 
 def _mixed(spark, d):
     """Every second document decomposed, so that copies differ in form."""
-    rows = spark.read.parquet(f"{d}/documents.parquet")
+    rows = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang"))
     t = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(_variant("text", "decomposed"))
     return rows.select(F.col("doc_id").alias("id"), t.alias("text"), F.col("lang").alias("scope"))
 
@@ -187,7 +192,7 @@ _RELATIONS = [N.Relation("exact"), N.Relation("nfc")]
 
 def _namespace(spark, d):
     items = _mixed(spark, d)
-    rows = N.keyed(items, _RELATIONS)
+    rows = written(N.keyed(items, _RELATIONS), "keyed")  # digests only, read twice
     found = N.groups(rows)
     return items, rows, found
 
@@ -283,7 +288,7 @@ def explain_difference(spark, d):
 
 @_query()
 def chunk_texts(spark, d):
-    return _docs(spark, d, "emoji").select("doc_id", F.posexplode(C.chunks("t", 256)["chunks"]).alias("idx", "chunk")).select("doc_id", "idx", C.digest("chunk").alias("sha256"), F.octet_length("chunk").alias("utf8_bytes"))
+    return _wide(spark, d, "emoji").select("doc_id", F.posexplode(C.chunks("t", 256)["chunks"]).alias("idx", "chunk")).select("doc_id", "idx", C.digest("chunk").alias("sha256"), F.octet_length("chunk").alias("utf8_bytes"))
 
 
 @_query(f"SELECT a.doc_id, CASE WHEN a.h = b.h THEN 'same' ELSE 'sha256' END AS change FROM (SELECT doc_id, sha256(text) AS h FROM documents) a JOIN (SELECT doc_id, sha256(t) AS h FROM {_d('decomposed')}) b USING (doc_id)")
@@ -322,8 +327,7 @@ def collation_order(spark, d):
 @_query(f"SELECT doc_id, {_COUNTS} FROM {_d('emoji')}")
 def stream_inspect(spark, d):
     """The same facts through a stream that appends parquet exactly once."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    out = f"{root.rstrip('/')}/textfacts-stream-{uuid.uuid4().hex}"
+    out = shared_path(spark, "stream")
     path = f"{d}/documents.parquet"
     # The file source lists directories; one file is read by name through its folder.
     folder = spark.read.parquet(path)

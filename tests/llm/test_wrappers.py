@@ -1,6 +1,14 @@
 """Wrapper induction on small sites."""
 
-from textfacts.llm.wrappers import align, blocks, extract_pages, main_text, parse
+import itertools
+import os
+import time
+
+import pyarrow.parquet as pq
+import pytest
+
+from textfacts.llm import wrappers as W
+from textfacts.llm.wrappers import align, blocks, extract_pages, furniture_slots, main_text, parse, slots
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><script>var t="</p><p>no";</script><style>p{}</style></head><body>
 <nav><ul><li><a href="/a">A</a></li></ul></nav><!-- ad --><div class="ad">buy</div>
@@ -99,3 +107,92 @@ def test_skipped_elements_without_end_tag():
     assert main_text(f"<object>lost<object>lost</object><p>lost</p></object>{article}") == "Head\n\nBody text."
     assert main_text("<head><title>t</title><meta charset=utf-8>Plain <b>text</b> without a body tag") == "Plain text without a body tag"
     assert main_text("<svg>" * 20_000 + article) == "Head\n\nBody text."
+
+
+def host_slots(pages):
+    """Slots summed over pages as the operator does, by plain loops."""
+    sums = {}
+    for page in pages:
+        for slot, parent, holds, text, linked, heading in slots(parse(page)):
+            old = sums.get(slot, (parent, False, 0, 0, False, 0))
+            sums[slot] = (parent, old[1] or holds, old[2] + text, old[3] + linked, old[4] or heading, old[5] + 1)
+    return furniture_slots([(k, *v[:5]) for k, v in sorted(sums.items()) if 2 * v[5] > len(pages)])
+
+
+TABLE = "/root/testdata/sf0.1/pages.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(TABLE), reason="no test tables")
+def test_article_is_induced_without_any_word_list(monkeypatch):
+    """Menus, adverts and footers whose text changes from page to page go by what their slots hold alone."""
+    rows = pq.read_table(TABLE).to_pydict()
+    sites = {}
+    for url, page in zip(rows["url"], rows["html"]):
+        sites.setdefault(url.split("/")[2].split(":")[0].split("@")[-1].lower(), []).append(page or "")
+    sites = [pages for pages in sites.values() if len(pages) >= 20]
+    want = [[main_text(p) for p in pages] for pages in sites]
+    for name in ("MARKS", "FURNITURE", "ROLES"):
+        monkeypatch.setattr(W, name, set())
+    W._roles.cache_clear()
+    plain = [[main_text(p) for p in pages] for pages in sites]
+    got = [[main_text(p, (), *host_slots(pages)) for p in pages] for pages in sites]
+    W._roles.cache_clear()
+    assert len(sites) > 20 and all(a != b for x, y in zip(plain, want) for a, b in zip(x, y))
+    assert got == want
+
+
+def test_names_of_classes():
+    page = "<div><div class='{}'><p>Some text here.</p></div><p>More.</p></div>"
+    for name in ("ad", "site-footer", "Comments", "sidebarLeft", "cookie_banner", "comment-list js"):
+        assert main_text(page.format(name)) == "More.", name
+    for name in ("article-header", "side-effects", "legal-news", "reader", "adapter", "sharing-economy-story"):
+        assert main_text(page.format(name)).startswith("Some text"), name
+    # A name does not remove the region that holds the host's text.
+    site = ["<div class='menu'><a href=x>A {0}</a></div><div class='content sidebar'><div><h1>Title {0}</h1><p>" + f"A long story number {k} of the day, told at length. " * 5 + "</p></div></div><div>By {0}</div>" for k in range(5)]
+    site = [p.format(k) for k, p in enumerate(site)]
+    furniture, way = host_slots(site)
+    assert all(main_text(p, (), furniture, way).startswith(f"Title {k}\n\nA long story") and "By" not in main_text(p, (), furniture, way) and "A " + str(k) + "\n" not in main_text(p, (), furniture, way) for k, p in enumerate(site))
+
+
+def test_thin_slots_with_a_heading_stay():
+    site = [f"<div class=h><h1>Title {k}</h1></div><div class=b><p>{'Words of a long text. ' * 30}{k}</p><p>End.</p></div><div class=x>Buy {k}!</div>" for k in range(4)]
+    texts = [main_text(p, (), *host_slots(site)) for p in site]
+    assert all(t.startswith(f"Title {k}\n\nWords") and t.endswith("End.") for k, t in enumerate(texts))
+
+
+def test_bad_markup_takes_linear_time():
+    article = "<article><h1>Head</h1><p>Body text.</article>"
+    began = time.process_time()
+    assert main_text("<p>" + "İ" * 40 + "</p><script>x</script>" + article) == "İ" * 40 + "\n\nHead\n\nBody text."
+    assert main_text("<script>ſcript </ſcript> lost</SCRIPT>" + article) == "Head\n\nBody text."
+    main_text("<" + "a" * 200_000)
+    main_text("<a href=" * 50_000)
+    main_text("<a '>'" * 50_000)
+    main_text("<a \"'>" * 50_000 + article)
+    assert main_text("<p title=\"a > b\">x <b title='<p>'>y</b>") == "x y"
+    assert main_text("<p title=\"open>x") == "x"
+    assert time.process_time() - began < 30
+
+
+def tree_matching(a, b):
+    """Size of the greatest simple tree matching, by plain recursion."""
+    if a.tag != b.tag or a.out != b.out:
+        return 0
+    p, q = a.children, b.children
+    best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+    for i, j in itertools.product(range(len(p)), range(len(q))):
+        best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + tree_matching(p[i], q[j]))
+    return 1 + best[-1][-1]
+
+
+def test_align_against_recursive_matching():
+    import random
+
+    rng = random.Random(6)
+    grow = lambda d: f"<{(t := rng.choice(['div', 'ul', 'table']))}>" + "".join(grow(d - 1) if d and rng.random() < 0.6 else f"<p>{rng.choice('xyz')}</p>" for _ in range(rng.randrange(4))) + f"</{t}>"
+    for _ in range(60):
+        a, b = parse(grow(3)), parse(grow(3))
+        pairs = align(a, b)
+        assert all(x.tag == y.tag == "#" for x, y in pairs)
+        assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+        assert len(pairs) <= tree_matching(a, b) - 1 or not pairs

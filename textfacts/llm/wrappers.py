@@ -9,18 +9,27 @@ length costs linear time.  Blocks met on more than half of the host's pages are
 template, the others are slots.  Copies of a page or of an article count as one
 page, so that a repeated article is no template.  ``align`` is the matching of two single trees.
 
-Content is what is left of a page without template blocks and without the slots
-that are furniture by their role: menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments, known by tag, role or class, in whichever page
-they occur.  A host with a single page has no constant blocks to find and goes by
-roles alone.
+What is left of a page are its varying slots, and which of them are the article is
+induced as well.  A slot is a path of elements with their classes; its text, the part
+of it inside links, and its headings are summed over all distinct pages of the host.
+From the root down, the article's region is the element that holds most of the text of
+the one above, as long as that one is a container.  Beside the way down, slots that are
+mostly links, or that hold little text beside the region and no heading, are furniture
+(see :func:`furniture_slots`): no word list is asked for that.
+
+Roles are known besides: elements and ARIA roles that HTML defines as menus, footers,
+forms and the like, and whole class or id names such as "comments" or "site-footer" for
+slots that read like an article (reader comments, long adverts) or hosts with too few
+pages to induce anything.  A class name never removes the induced region itself.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -58,9 +67,13 @@ MARKS = set(
     "ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent notice notices popup modal overlay nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside widget widgets footer header masthead "
     "comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager toolbar topbar skip copyright legal disclaimer".split()
 )
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|$)", re.S)
+#: Parts that may stand beside a mark in a compound name.
+BESIDE = set("site page main top bottom left right primary secondary wrapper wrap container box list item items inner outer block section area global bar post js col row content".split())
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(/?)([a-zA-Z][^\s/>]*)|<[!?][^>]*(?:>|$)", re.S)
+_ENDS = re.compile("[>\"']")
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-_MARK = re.compile(r"[a-z]+")
+_PART = re.compile(r"[-_\d]+|(?<=[a-z])(?=[A-Z])")
 _BLANK = re.compile(r"\s+")
 #: A host's block is template when met on more than half of the host's distinct pages, and on 3 or more (2 where a host has 2).
 LEAST_PAGES = 3
@@ -69,27 +82,48 @@ LEAST_PAGES = 3
 OWN_PART = 8
 
 
+#: A slot outside the region is thin with less than 1/THIN of the region's text.
+THIN = 8
+
+
 class Node:
-    __slots__ = ("tag", "out", "children", "text", "key")
+    """An element, or a text block ('#'): ``out`` by its role, ``soft`` by a class name; ``slot`` its path with classes."""
+
+    __slots__ = ("tag", "out", "soft", "children", "text", "linked", "key", "slot")
+
+    def __init__(self, tag: str, out: bool, soft: frozenset[int] = frozenset(), slot: int = 0):
+        self.tag, self.out, self.soft, self.slot = tag, out, soft, slot
+        self.children, self.text, self.linked, self.key = [], "", 0, 0
+
 
-    def __init__(self, tag: str, out: bool):
-        self.tag, self.out, self.children, self.text, self.key = tag, out, [], "", 0
+def _marked(name: str) -> bool:
+    """Whether a class or id name says furniture: a mark, alone or beside words that say nothing else."""
+    parts = [x.lower() for x in _PART.split(name) if x]
+    return any(x in MARKS for x in parts) and all(x in MARKS or x in BESIDE for x in parts)
 
 
-def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in FURNITURE and not (tag == "header" and in_article):
-        return True
-    if "=" not in attributes or tag in ("html", "body", "main", "article"):
-        return False
+@lru_cache(50_000)
+def _roles(tag: str, attributes: str) -> tuple[bool, bool, str]:
+    """Furniture by element or role, furniture by a class or id name, and the classes, sorted."""
+    out = tag in FURNITURE
+    if "=" not in attributes:
+        return out, False, ""
+    marked, classes = False, ""
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and MARKS.intersection(_MARK.findall(value)):
-            return True
-        if name == "aria-hidden" and value == "true":
-            return True
-    return False
+        name, value = name.lower(), a or b or c
+        if name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
+            out = True
+        if name in ("class", "id"):
+            marked = marked or any(map(_marked, value.split()))
+        if name == "class":
+            classes = " ".join(sorted(value.split()))
+    return out, marked, classes
+
+
+@lru_cache(100_000)
+def _slot(parent: int, tag: str, classes: str) -> int:
+    """Hash of the path of elements and classes down to an element."""
+    return int.from_bytes(blake2b(f"{parent} {tag} {classes}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 #: Start, end, 1 for an end tag, name ('' for what is no tag, '[' for CDATA) and attributes.
@@ -99,25 +133,51 @@ Token = tuple[int, int, bool, str, str]
 def _tokens(page: str) -> list[Token]:
     """The tags of a page in order; a raw element is one token of no name."""
     out: list[Token] = []
-    at, low = 0, page.lower()
+    at, failed = 0, []
     while m := _TAG.search(page, at):
         at = m.end()
         tag = m[2]
         if tag is None:
             out.append((m.start(), at, False, "[" if m[0].startswith("<![CDATA[") else "", m[0]))
             continue
-        tag = tag.lower()
+        end = _tag_end(page, at, failed)
+        if end < 0:  # no tag: it never ends
+            continue
+        tag, attributes, at = tag.lower(), page[at:end], end + 1
         if tag in RAW and not m[1]:
             # No markup inside; without an end tag the rest of the page belongs to it.
-            end = low.find(f"</{tag}", at)
-            close = page.find(">", end) if end >= 0 else -1
-            at = close + 1 if close >= 0 else len(page)
+            close = _RAW_END[tag].search(page, at)
+            end = page.find(">", close.end()) if close else -1
+            at = end + 1 if end >= 0 else len(page)
             out.append((m.start(), at, False, "", ""))
             continue
-        out.append((m.start(), at, m[1] == "/", tag, m[3]))
+        out.append((m.start(), at, m[1] == "/", tag, attributes))
     return out
 
 
+def _tag_end(page: str, at: int, failed: list[list[int]]) -> int:
+    """Place of the first '>' from ``at`` that is in no quotes, or -1.
+
+    A quote that is never closed is an ordinary character.  ``failed`` keeps the
+    bounds of the quoted parts of searches in vain: another one that starts outside
+    of them would end alike, so that no page takes quadratic time.
+    """
+    for bounds in failed:
+        if at >= bounds[0] and bisect_right(bounds, at) % 2:
+            return -1
+    bounds = [at]
+    while m := _ENDS.search(page, at):
+        at = m.end()
+        if m[0] == ">":
+            return at - 1
+        close = page.find(m[0], at)
+        if close >= 0:
+            bounds += [at, close + 1]
+            at = close + 1
+    failed.append(bounds)
+    return -1
+
+
 def _closed(tokens: list[Token]) -> dict[int, int]:
     """Start tags of skipped elements that have an end tag, and where."""
     ends: dict[int, int] = {}
@@ -178,16 +238,19 @@ def parse(page: str) -> Node:
     root = Node("html", False)
     stack: list[tuple[str, Node]] = [("html", root)]
     pieces: list[str] = []
-    depth_article = 0
+    depth_article = depth_link = linked = 0
 
     def flush() -> None:
+        nonlocal linked
         if pieces:
             text = _BLANK.sub(" ", html_lib.unescape("".join(pieces))).strip(" ")
             pieces.clear()
             if text:
-                leaf = Node("#", stack[-1][1].out)
-                leaf.text = text
-                stack[-1][1].children.append(leaf)
+                up = stack[-1][1]
+                leaf = Node("#", up.out, up.soft, up.slot)
+                leaf.text, leaf.linked = text, min(linked, len(text))
+                up.children.append(leaf)
+            linked = 0
 
     def pop_to(k: int) -> None:
         nonlocal depth_article
@@ -202,6 +265,7 @@ def parse(page: str) -> Node:
         start, end, closes, tag, attributes = tokens[k]
         if start > at:
             pieces.append(page[at:start])
+            linked += depth_link and start - at
         at = end
         k += 1
         if not tag:
@@ -209,6 +273,9 @@ def parse(page: str) -> Node:
         if tag == "[":
             pieces.append(html_lib.escape(attributes[9:].removesuffix("]]>")))
             continue
+        if tag == "a":  # a second link ends the first
+            depth_link = int(not closes)
+            continue
         if closes:
             if tag in BLOCK:
                 for n in range(len(stack) - 1, 0, -1):
@@ -240,8 +307,11 @@ def parse(page: str) -> Node:
                     break
         if tag in VOID:
             continue
-        node = Node(tag, stack[-1][1].out or _is_furniture(tag, attributes, depth_article > 0))
-        stack[-1][1].children.append(node)
+        up = stack[-1][1]
+        out, marked, classes = _roles(tag, attributes)
+        slot = _slot(up.slot, tag, classes)
+        node = Node(tag, up.out or out and not (tag == "header" and depth_article), up.soft | {slot} if marked and tag not in ("main", "article") else up.soft, slot)
+        up.children.append(node)
         stack.append((tag, node))
         depth_article += tag == "article"
     if at < len(page):
@@ -321,9 +391,87 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
     return out
 
 
-def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The page's content blocks, those whose key is in ``template`` left out, joined by two line ends."""
-    return "\n\n".join(b.text for b in blocks(parse(page)) if not b.out and b.key not in template)
+def slots(root: Node) -> list[tuple[int, int, bool, int, int, bool]]:
+    """slot, parent, whether it holds elements with text, text, linked text and whether there is a heading, of every slot of a page.
+
+    Sums of the whole subtree; equal paths are one slot.  Furniture by role counts nowhere.
+    """
+    found: dict[int, list] = {}
+    todo: list[tuple[Node, Node | None, bool]] = [(root, None, False)]
+    sums: dict[int, list] = {}
+    while todo:
+        node, up, ready = todo.pop()
+        if not ready:
+            sums[id(node)] = [0, 0, False, False]
+            todo.append((node, up, True))
+            todo.extend((c, node, False) for c in node.children if c.tag != "#" and not c.out)
+            continue
+        s = sums.pop(id(node))
+        for c in node.children:
+            if c.tag == "#" and not c.out:
+                s[0] += len(c.text)
+                s[1] += c.linked
+        s[2] = s[2] or node.tag in HEADINGS and s[0] > 0
+        kept = found.setdefault(node.slot, [up.slot if up else 0, False, 0, 0, False])
+        kept[1] = kept[1] or s[3]
+        kept[2] += s[0]
+        kept[3] += s[1]
+        kept[4] = kept[4] or s[2]
+        if up and s[0]:
+            o = sums[id(up)]
+            o[0] += s[0]
+            o[1] += s[1]
+            o[2] = o[2] or s[2]
+            o[3] = True
+    return [(slot, *v) for slot, v in found.items()]
+
+
+def furniture_slots(stats: list[tuple[int, int, bool, int, int, bool]]) -> tuple[list[int], list[int]]:
+    """Slots that are furniture, and the slots on the way to the article's region, from slots summed over a host's pages.
+
+    The way leads from the root to the element that holds at least half of the text of
+    the one before, while that one holds elements of its own.  Beside it a slot is
+    furniture if half of its text or more is in links, or if it has no heading and less
+    than 1/THIN of the region's text.
+    """
+    of = {x[0]: x for x in stats}
+    below: dict[int, list[int]] = {}
+    for slot, parent, *_ in stats:
+        if slot:
+            below.setdefault(parent, []).append(slot)
+    if 0 not in of or not of[0][3]:
+        return [], []
+    way = [0]
+    while True:
+        best = max(below.get(way[-1], ()), key=lambda k: (of[k][3] - of[k][4], k), default=None)
+        if best is None or not of[best][2] or 2 * of[best][3] < of[way[-1]][3] or 2 * of[best][4] >= of[best][3]:
+            break
+        way.append(best)
+    region = of[way[-1]][3]
+    beside = [k for a in way[:-1] for k in below.get(a, ()) if k not in way]
+    return [k for k in beside if 2 * of[k][4] >= of[k][3] > 0 or not of[k][5] and THIN * of[k][3] < region], way
+
+
+def main_text(page: str, template: Iterable[int] = (), furniture: Iterable[int] = (), way: Iterable[int] = ()) -> str:
+    """The page's content blocks joined by two line ends.
+
+    Left out are blocks whose key is in ``template``, those under a slot of
+    ``furniture``, and those under a marked slot that is not on the ``way`` to the
+    article's region.
+    """
+    template, furniture, way = frozenset(template), frozenset(furniture), frozenset(way)
+    root = parse(page)
+    blocks(root)
+    out: list[str] = []
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.tag == "#":
+            if not node.out and node.key not in template and node.soft <= way:
+                out.append(node.text)
+        elif node.slot not in furniture:
+            todo.extend(reversed(node.children))
+    return "\n\n".join(out)
 
 
 def host_of(url: Column) -> Column:
@@ -331,8 +479,29 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+_SLOTS = "slots array<struct<slot:long,parent:long,holds:boolean,text:long,linked:long,heading:boolean>>"
+
+
+def _furniture(distinct: DataFrame) -> DataFrame:
+    """host, furniture and way, from the slots of its distinct pages."""
+    total = materialize(distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages")))
+    each = distinct.select("host", F.explode("slots").alias("s")).select("host", "s.*")
+    sums = each.groupBy("host", "slot", "parent").agg(F.count(F.lit(1)).alias("n"), F.max("holds").alias("holds"), F.sum("text").alias("text"), F.sum("linked").alias("linked"), F.max("heading").alias("heading"))
+    # Slots of the site's structure are met on more than half of its pages: at most twice the slots of a page per host.
+    often = _by_host(sums, total, F.lit(0)).filter((F.col("pages") >= LEAST_PAGES) & (2 * F.col("n") > F.col("pages")))
+    lists = often.groupBy("host").agg(F.collect_list(F.struct("slot", "parent", "holds", "text", "linked", "heading")).alias("slots"))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [furniture_slots(sorted(tuple(x.values()) for x in row)) for row in batch.column(1).to_pylist()]
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in found], longs), pa.array([w for _, w in found], longs)], ["host", "furniture", "way"])
+
+    return materialize(lists.mapInArrow(decide, "host string, furniture array<long>, way array<long>"))
+
+
 def induce(pages: DataFrame) -> DataFrame:
-    """host and the keys of its template blocks, from host and html of all pages."""
+    """host, the keys of its template blocks, its furniture and its way to the article, from host and html of all pages."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,17 +509,23 @@ def induce(pages: DataFrame) -> DataFrame:
                 part = batch.slice(at, 200)
                 rows = []
                 for host, page in zip(*(c.to_pylist() for c in part.columns)):
-                    found = [b for b in blocks(parse(page)) if not b.out]
+                    root = parse(page)
+                    found = [b for b in blocks(root) if not b.out]
                     if found:
                         body = blake2b(b"".join(b.key.to_bytes(8, "little", signed=True) for b in found), digest_size=8).digest()
-                        rows.append((host, int.from_bytes(body, "little", signed=True), {b.key: len(b.text) for b in found}))
+                        rows.append((host, int.from_bytes(body, "little", signed=True), {b.key: len(b.text) for b in found}, slots(root)))
                 arrays = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())]
                 arrays += [pa.array([list(r[2]) for r in rows], pa.list_(pa.int64())), pa.array([list(r[2].values()) for r in rows], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["host", "body", "keys", "lengths"])
+                names = ("slot", "parent", "holds", "text", "linked", "heading")
+                kind = pa.list_(pa.struct(dict(zip(names, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_())))))
+                arrays.append(pa.array([[dict(zip(names, x)) for x in r[3]] for r in rows], kind))
+                yield pa.RecordBatch.from_arrays(arrays, ["host", "body", "keys", "lengths", "slots"])
 
-    read_pages = pages.select("host", "html").mapInArrow(read, "host string, body long, keys array<long>, lengths array<int>")
+    read_pages = pages.select("host", "html").mapInArrow(read, f"host string, body long, keys array<long>, lengths array<int>, {_SLOTS}")
     # Pages of the same blocks count once.
     distinct = materialize(read_pages.dropDuplicates(["host", "body"]))
+    furniture = _furniture(distinct.select("host", "slots"))
+    distinct = distinct.drop("slots")
     common = _constant(distinct.select("host", F.col("body").alias("who"), "keys"))
     # Pages that hold little besides what most of the host's pages share may be copies of one article: they count once for each such article.
     held = _by_host(distinct, common, 8 * F.size("template")).withColumn("shared", F.filter(F.arrays_zip("keys", "lengths"), lambda b: F.array_contains("template", b["keys"])))
@@ -358,7 +533,8 @@ def induce(pages: DataFrame) -> DataFrame:
     n_own = F.aggregate("lengths", F.lit(0).cast("long"), lambda n, length: n + length) - n_shared
     longest = F.array_max(F.transform("shared", lambda b: F.struct(b["lengths"], b["keys"])))["keys"]
     own = n_own * F.when(F.col("pages") < LEAST_PAGES, 1).otherwise(OWN_PART) >= n_shared
-    return _constant(held.select("host", F.when(own, F.col("body")).otherwise(longest).alias("who"), F.col("shared")["keys"].alias("keys")))
+    constant = _constant(held.select("host", F.when(own, F.col("body")).otherwise(longest).alias("who"), F.col("shared")["keys"].alias("keys")))
+    return materialize(constant.select("host", "template").join(furniture, "host", "full"))
 
 
 def _constant(pages: DataFrame) -> DataFrame:
@@ -388,16 +564,17 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     columns are not read; an empty table gives an empty result.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host_of(F.col(url_col)).alias("host"))
-    wrappers = induce(rows).select("host", "template")
+    wrappers = induce(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                texts = [main_text(page, frozenset(template or ())) for page, template in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                texts = [main_text(page, *(x or () for x in known)) for page, *known in zip(*(c.to_pylist() for c in part.columns[2:]))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = _by_host(rows, wrappers, 8 * F.size("template"), "left").select("page_id", "url", "html", "template")
+    size = 8 * sum((F.coalesce(F.size(c), F.lit(0)) for c in ("template", "furniture", "way")), F.lit(0))
+    joined = _by_host(rows, wrappers, size, "left").select("page_id", "url", "html", "template", "furniture", "way")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

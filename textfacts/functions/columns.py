@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from . import bidi
 from . import kernels as K
 from . import protocol as P
 from . import unicode_data as U
@@ -252,12 +253,31 @@ def security(c: str | Column, tables: dict) -> Column:
 def skeleton_digest(c: str | Column, tables: dict, direction: str = "LTR") -> Column:
     """SHA-256 of the bidi skeleton; the skeleton itself is no public value."""
     prototype = tables["prototype"]
-    return _kernel("sha256 string", lambda t: {"sha256": K.sha256(K.bidi_skeleton(t, prototype, direction))}, col(c))["sha256"]
+
+    def run(t):
+        U.use(tables)
+        return {"sha256": K.sha256(K.bidi_skeleton(t, prototype, direction))}
+
+    return _kernel("sha256 string", run, col(c))["sha256"]
+
+
+def display_order(c: str | Column, tables: dict, direction: str = "LTR") -> Column:
+    """The text in visual order (UAX #9), as a struct with ``output``."""
+    def run(t):
+        U.use(tables)
+        return {"output": bidi.display_order(K.require_well_formed(t), direction)}
+
+    return _kernel("output string", run, col(c))
 
 
 def confusable(left: str | Column, right: str | Column, tables: dict, direction: str = "LTR") -> Column:
     prototype = tables["prototype"]
-    return _kernel("relation string, class string, uts39Confusable boolean", lambda a, b: K.confusable(a, b, prototype, direction), col(left), col(right))
+
+    def run(a, b):
+        U.use(tables)
+        return K.confusable(a, b, prototype, direction)
+
+    return _kernel("relation string, class string, uts39Confusable boolean", run, col(left), col(right))
 
 
 def explain_difference(left: str | Column, right: str | Column, unit: str = "grapheme") -> Column:
@@ -273,10 +293,25 @@ def explain_difference(left: str | Column, right: str | Column, unit: str = "gra
     return _kernel("exact boolean, nfc boolean, nfd boolean, nfkc boolean, nfkd boolean, casefold boolean, first_difference long, matched long, inserted long, deleted long, segments array<struct<kind:string,left_start:int,left_end:int,right_start:int,right_end:int>>", run, col(left), col(right))
 
 
+ACTIONS = {"uts46": ("to_ascii", "to_unicode"), "precis": ("enforce",)}
+
+
 def protocol_profile(c: str | Column, profile: str, action: str = "enforce", **options) -> Column:
-    """PRECIS enforcement, or UTS #46 to_ascii / to_unicode."""
+    """PRECIS enforcement, or UTS #46 to_ascii / to_unicode; :func:`protocol_compare` compares."""
+    if action not in ACTIONS["uts46" if profile == "uts46" else "precis"]:
+        raise K.TextFactError("INVALID_INPUT", profile=profile, action=action)
+
     def run(t):
         out = P.uts46(t, action, **options) if profile == "uts46" else P.precis(t, profile)[0]
         return {"output": out, "changed": out != t}
 
     return _kernel("output string, changed boolean", run, col(c))
+
+
+def protocol_compare(left: str | Column, right: str | Column, profile: str, **options) -> Column:
+    """Whether two texts are one identifier under a profile: both are enforced, and equal; what either refuses is its error."""
+    def run(a, b):
+        x, y = (P.uts46(t, "to_ascii", **options) if profile == "uts46" else P.precis(t, profile)[0] for t in (a, b))
+        return {"left": x, "right": y, "equal": x == y}
+
+    return _kernel("left string, right string, equal boolean", run, col(left), col(right))

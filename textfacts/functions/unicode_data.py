@@ -88,11 +88,37 @@ def characters(prop: str) -> str:
     return "".join(regex.findall(rf"\p{{{prop}}}", everything))
 
 
+#: Mirrored partners and paired brackets, from ICU; empty until :func:`use` is given the tables.
+MIRRORS: dict[str, str] = {}
+BRACKETS: dict[str, tuple[str, str]] = {}
 _TABLES: dict = {}
 
 
+def use(tables: dict) -> None:
+    """Lets this process mirror by the tables; kernels call it in their workers."""
+    if not MIRRORS:
+        MIRRORS.update(tables["mirrors"])
+        BRACKETS.update(tables["brackets"])
+
+
+def _mirror_tables(jvm) -> tuple[dict[str, str], dict[str, tuple[str, str]]]:
+    """Partner of every mirrored character that has one; ('o' or 'c', canonical opening bracket) of every paired bracket."""
+    import unicodedata
+
+    char, prop = jvm.com.ibm.icu.lang.UCharacter, jvm.com.ibm.icu.lang.UProperty
+    mirrors, brackets = {}, {}
+    for c in characters("Bidi_Mirrored"):
+        if (m := chr(char.getMirror(ord(c)))) != c:
+            mirrors[c] = m
+        # Values of the property: 0 none, 1 open, 2 close.
+        if kind := char.getIntPropertyValue(ord(c), prop.BIDI_PAIRED_BRACKET_TYPE):
+            opening = c if kind == 1 else chr(char.getBidiPairedBracket(ord(c)))
+            brackets[c] = "oc"[kind - 1], unicodedata.normalize("NFD", opening)
+    return mirrors, brackets
+
+
 def uts39_tables(spark) -> dict:
-    """{'prototype': {char: prototype}, 'allowed': frozenset of characters}, from ICU on the driver."""
+    """Prototypes by character, the allowed characters, mirrors and brackets, from ICU on the driver."""
     if not _TABLES:
         import unicodedata
 
@@ -109,5 +135,7 @@ def uts39_tables(spark) -> dict:
         allowed = set()
         for k in range(recommended.getRangeCount()):
             allowed.update(map(chr, range(recommended.getRangeStart(k), recommended.getRangeEnd(k) + 1)))
-        _TABLES.update(prototype=prototype, allowed=frozenset(allowed))
+        mirrors, brackets = _mirror_tables(jvm)
+        _TABLES.update(prototype=prototype, allowed=frozenset(allowed), mirrors=mirrors, brackets=brackets)
+        use(_TABLES)
     return _TABLES

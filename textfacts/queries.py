@@ -172,6 +172,41 @@ def precis_username(spark, d):
     return rows.select("c_custkey", "r.output", "r.changed")
 
 
+_BIDI = [("abc אבג", "LTR"), ("א(1)", "FS"), ("aא<ב", "LTR"), ("א∈ב", "RTL"), ("א⊂ב⊃ג", "RTL"), ("(א)", "RTL"), ("plain", "LTR")]
+_SHOWN = ["abc גבא", "(1)א", "aב>א", "ב∋א", "ג⊂ב⊃א", "(א)", "plain"]
+_LOOK = [("pаypаl", "paypal", "confusable", True), ("paypal", "paypal", "identical", True), ("abc", "abd", "distinct", False)]
+
+
+def _values(rows: list[tuple]) -> str:
+    return "VALUES " + ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v).lower() for v in r) + ")" for r in rows)
+
+
+@_query(f"SELECT * FROM ({_values([(t, d, o) for (t, d), o in zip(_BIDI, _SHOWN)])}) v(text, direction, shown)")
+def display_order(spark, d):
+    """Visual order of known texts."""
+    tables = U.uts39_tables(spark)
+    rows = spark.createDataFrame(_BIDI, "text string, direction string")
+    shown = F.coalesce(*[F.when(F.col("direction") == k, C.display_order("text", tables, k)["output"]) for k in ("LTR", "RTL", "FS")])
+    return rows.select("text", "direction", shown.alias("shown"))
+
+
+@_query(f"SELECT * FROM ({_values(_LOOK)}) v(a, b, relation, same)")
+def compare_confusables(spark, d):
+    rows = spark.createDataFrame([r[:2] for r in _LOOK], "a string, b string")
+    r = rows.select("a", "b", C.confusable("a", "b", U.uts39_tables(spark)).alias("r"))
+    return r.select("a", "b", "r.relation", F.col("r.uts39Confusable").alias("same"))
+
+
+@_query("SELECT a.c_custkey, lower(a.c_name) AS name, true AS same, false AS other FROM customer a")
+def precis_compare(spark, d):
+    """Each name against its capitals, and against another name."""
+    rows = spark.read.parquet(f"{d}/customer.parquet")
+    profile = "precis_username_case_mapped"
+    same, other = C.protocol_compare("c_name", F.upper("c_name"), profile), C.protocol_compare("c_name", F.concat("c_name", F.lit("x")), profile)
+    r = rows.select("c_custkey", same.alias("s"), other.alias("o"))
+    return r.select("c_custkey", F.col("s.left").alias("name"), F.col("s.equal").alias("same"), F.col("o.equal").alias("other"))
+
+
 def _items(spark, d, *kinds):
     return _docs(spark, d, *kinds).select(F.col("doc_id").alias("id"), F.col("t").alias("text"), F.col("lang").alias("scope"))
 

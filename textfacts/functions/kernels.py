@@ -7,6 +7,7 @@ refused by :func:`require_well_formed`.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import unicodedata
 from functools import lru_cache
@@ -205,17 +206,14 @@ def width_map() -> dict[int, str]:
 
 def decode_utf8(data: bytes) -> tuple[str, list[tuple[int, int]]]:
     """Text with one U+FFFD per maximal invalid part, and the (start, end) of each."""
-    out, bad, at = [], [], 0
-    while at < len(data):
-        try:
-            out.append(data[at:].decode("utf-8"))
-            break
-        except UnicodeDecodeError as e:
-            out.append(data[at : at + e.start].decode("utf-8"))
-            out.append("\ufffd")
-            bad.append((at + e.start, at + e.end))
-            at += e.end
-    return "".join(out), bad
+    bad: list[tuple[int, int]] = []
+
+    def note(e: UnicodeDecodeError) -> tuple[str, int]:
+        bad.append((e.start, e.end))
+        return "\ufffd", e.end
+
+    codecs.register_error("textfacts.note", note)
+    return data.decode("utf-8", "textfacts.note"), bad
 
 
 def decode_utf16le(data: bytes) -> tuple[str, list[tuple[int, int]]]:

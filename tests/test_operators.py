@@ -68,7 +68,7 @@ def test_plans(spark):
         plans.build("guess", "t")
     with pytest.raises(TextFactError, match="INVALID_INPUT"):
         plans.build("inspect", "t", other=1)
-    assert plans.catalogue(spark).count() == 8 and "icu" in plans.identity(spark)
+    assert plans.catalogue(spark).count() == 10 and "icu" in plans.identity(spark)
     plans.register(spark)
     assert spark.sql("SELECT tf_nfkc_casefold('Straße') AS x").first()["x"] == "strasse"
     assert [r["chunk"] for r in spark.sql("SELECT * FROM tf_chunks('abcdef', 4)").collect()] == ["abcd", "ef"]

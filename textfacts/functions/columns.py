@@ -4,10 +4,11 @@ failing the job.  A null input gives a null result."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -15,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import bidi
 from . import kernels as K
 from . import protocol as P
+from . import reports as Q
 from . import unicode_data as U
 
 ERROR = T.StructType([T.StructField("code", T.StringType()), T.StructField("message", T.StringType()), T.StructField("details", T.MapType(T.StringType(), T.StringType()))])
@@ -142,11 +144,21 @@ COLLATIONS = {"variant": "", "accent": "_CI", "case": "_AI", "base": "_CI_AI"}
 
 def collated(c: str | Column, locale: str, sensitivity: str = "variant", **options) -> Column:
     """The column under a declared collation; options that Spark's collations lack are refused."""
+    locale = Q.locale_tag(locale)
     if sensitivity not in COLLATIONS:
         raise K.TextFactError("INVALID_COLLATION", sensitivity=sensitivity)
     if unsupported := {k: v for k, v in options.items() if v not in (None, False, "false", "sort", "default", "best fit", "lookup")}:
         raise K.TextFactError("UNSUPPORTED_COLLATION_OPTION", **unsupported)
-    return F.collate(col(c), locale + COLLATIONS[sensitivity])
+    return F.collate(col(c), _spark_locale(locale) + COLLATIONS[sensitivity])
+
+
+def _spark_locale(tag: str) -> str:
+    """Spark's name of a locale: parts joined by _, the region by its three letters."""
+    *parts, last = tag.split("-")
+    if len(last) != 2 or not parts:
+        return tag.replace("-", "_")
+    locale = SparkSession.active()._jvm.com.ibm.icu.util.ULocale.forLanguageTag(tag)
+    return "_".join([*parts, locale.getISO3Country()])
 
 
 def compare(left: str | Column, right: str | Column, locale: str, sensitivity: str = "variant", **options) -> Column:
@@ -315,3 +327,70 @@ def protocol_compare(left: str | Column, right: str | Column, profile: str, **op
         return {"left": x, "right": y, "equal": x == y}
 
     return _kernel("left string, right string, equal boolean", run, col(left), col(right))
+
+
+# --- reports ------------------------------------------------------------------
+
+_AT = "struct<utf8:long,utf16:long,code_point:long,grapheme:long,line:long,column_code_point:long,column_utf16:long>"
+_DETAIL = "array<struct<index_utf16:long,label:string,character:string,scripts:array<string>,bidi_class:string,signals:array<string>,identifier_status:string,identifier_types:array<string>>>"
+_PROFILE = "struct<name:string,transformed:string,changed:boolean,conforms:boolean,syntax_failures:array<struct<index_utf16:long,index_code_point:long,label:string,required:string>>,restricted:array<struct<index_utf16:long,label:string>>,restriction_level:string,mixed_numbers:boolean,decimal_systems:array<string>>"
+_COMPARISON = "struct<relation:string,uts39_confusable:boolean,class:string,direction:string,left_resolution:string,left_scripts:array<string>,right_resolution:string,right_scripts:array<string>,shared_scripts:array<string>,left_skeleton_sha256:string,right_skeleton_sha256:string>"
+_RELATION = "struct<equal:boolean,left_changed:boolean,right_changed:boolean,left_sha256:string,right_sha256:string>"
+_FIRST = f"struct<index:long,left:string,left_at:{_AT},right:string,right_at:{_AT}>"
+_INVISIBLE = "struct<bidi_controls:long,default_ignorables:long,format_characters:long,items:array<struct<index_utf16:long,label:string,character:string,signals:array<string>>>,truncated:boolean>"
+_ENDINGS = "array<struct<kind:string,start_utf16:long,end_utf16:long>>"
+_ALIGNMENT = f"struct<unit:string,left_items:long,right_items:long,matched:long,inserted:long,deleted:long,segment_count:long,changes:long,segments_sha256:string,segments:array<struct<kind:string,left_start:long,left_end:long,right_start:long,right_end:long,left_from:{_AT},left_to:{_AT},right_from:{_AT},right_to:{_AT}>>>"
+_OBSERVED = f"mode string, code_points long, utf16_units long, bidi_controls long, default_ignorables long, format_characters long, script_resolution string, scripts array<string>, characters {_DETAIL}, characters_truncated boolean, status_allowed long, status_restricted long, type_counts array<struct<type:string,n:long>>, profile {_PROFILE}, comparison {_COMPARISON}"
+
+
+def security_report(c: str | Column, tables: dict, mode: str = "free_text", profile: str | None = None, comparison: str | Column | None = None, direction: str | None = None, detail_limit: int = 64) -> Column:
+    """Observations on a text; of an identifier also its profile, and its comparison with another column's text."""
+    if mode not in Q.MODES or (mode == "identifier") != (profile in Q.PROFILES) or (comparison is None) != (direction not in Q.DIRECTIONS) or (comparison is not None and mode != "identifier"):
+        raise K.TextFactError("INVALID_INPUT", mode=mode, profile=profile, confusableDirection=direction)
+    run = lambda t, other=None: Q.security(t, mode, profile, detail_limit, tables, other, direction)
+    return _kernel(_OBSERVED, run, *([col(c)] if comparison is None else [col(c), col(comparison)]))
+
+
+def difference_report(left: str | Column, right: str | Column, tables: dict | None = None, direction: str | None = None, detail_limit: int = 64, witness: bool = False) -> Column:
+    """Everything that tells two texts apart; the confusable comparison with a direction, the segments with a witness.
+
+    Alignment takes time in proportion to the product of the lengths: strict limits keep it short.
+    """
+    if direction is not None and (direction not in Q.DIRECTIONS or tables is None):
+        raise K.TextFactError("INVALID_INPUT", confusableDirection=direction)
+    sides = ", ".join(f"{s}_{n} long" for s in ("left", "right") for n in ("utf8_bytes", "utf16_units", "code_points", "graphemes"))
+    forms = ", ".join(f"{f} {_RELATION}" for f in ("nfc", "nfd", "nfkc", "nfkd", "casefold"))
+    ddl = f"exact boolean, {sides}, {forms}, first_code_point {_FIRST}, first_grapheme {_FIRST}, left_invisible {_INVISIBLE}, right_invisible {_INVISIBLE}, left_line_endings {_ENDINGS}, right_line_endings {_ENDINGS}, code_point_alignment {_ALIGNMENT}, grapheme_alignment {_ALIGNMENT}, confusable {_COMPARISON}"
+    return _kernel(ddl, lambda a, b: Q.difference(a, b, detail_limit, witness, direction, tables), col(left), col(right))
+
+
+def source_report(c: str | Column, spans: str | Column, tables: dict, direction: str, detail_limit: int = 64) -> Column:
+    """Diagnostics of a source over its own spans (array of kind, start_utf16, end_utf16, scope); a bad span is the row's error."""
+    if direction not in Q.DIRECTIONS:
+        raise K.TextFactError("INVALID_INPUT", confusableDirection=direction)
+    # As JSON, so that a batch's rows can be told apart by value.
+    keep = F.to_json(F.transform(col(spans), lambda s: F.struct(s["kind"].alias("kind"), s["start_utf16"].alias("start_utf16"), s["end_utf16"].alias("end_utf16"), s["scope"].alias("scope"))), {"ignoreNullFields": "false"})
+    ddl = f"span_count long, identifiers long, spans array<struct<index:int,kind:string,scope:string,text:string,start:{_AT},end:{_AT}>>, hidden array<struct<index_utf16:long,label:string,signals:array<string>,spans:array<int>>>, hidden_count long, abnormal_line_endings {_ENDINGS}, abnormal_line_ending_count long, confusable_classes array<struct<scope:string,skeleton_sha256:string,texts:array<string>,spans:array<int>,pairs:long>>, confusable_pairs long"
+    return _kernel(ddl, lambda t, s: Q.source(t, json.loads(s), direction, detail_limit, tables), col(c), keep)
+
+
+def coordinate(c: str | Column, utf16: str | Column) -> Column:
+    """The coordinate at a UTF-16 offset; INVALID_SPAN where there is no boundary."""
+    return _kernel(f"at {_AT}", lambda t, k: {"at": Q.coordinate(t, k)}, col(c), col(utf16))
+
+
+def transcode_witness(c: str | Column, source: str, target: str, lossy: bool = False) -> Column:
+    """Each decoded character's place in the source, the text and the target."""
+    places = "source_start:long,source_end:long,decoded_start:long,decoded_end:long,target_start:long,target_end:long"
+    return _kernel(f"segment_count long, replacement_count long, bom string, bom_handling string, segments array<struct<kind:string,label:string,{places}>>", lambda raw: Q.transcode_witness(bytes(raw), source, target, lossy), col(c))
+
+
+def protocol_witness(c: str | Column, profile: str, action: str = "enforce", **options) -> Column:
+    """How an identifier came about: the passes of a PRECIS profile, or the facts of a UTS #46 conversion."""
+    if action not in ACTIONS["uts46" if profile == "uts46" else "precis"]:
+        raise K.TextFactError("INVALID_INPUT", profile=profile, action=action)
+    if profile == "uts46":
+        ddl = "output string, action string, input_code_points long, output_code_points long, input_ascii boolean, output_ascii boolean, input_root boolean, output_root boolean, changed boolean"
+        return _kernel(ddl, lambda t: Q.uts46_witness(t, action, **options), col(c))
+    ddl = "output string, pass_count long, stabilized_after_pass long, passes array<struct<index:int,input:string,output:string,changed:boolean,steps:array<struct<stage:string,output:string,changed:boolean>>>>"
+    return _kernel(ddl, lambda t: Q.precis_witness(t, profile), col(c))

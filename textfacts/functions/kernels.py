@@ -368,4 +368,4 @@ def confusable(left: str, right: str, prototype: dict[str, str], direction: str
         shared = set(ls) & set(rs)
         single = lk == rk == "set"
         kind = "single_script" if single and shared else "whole_script" if single else "mixed_script"
-    return {"relation": "identical" if left == right else "confusable" if same else "distinct", "class": kind, "uts39Confusable": same}
+    return {"relation": "identical" if left == right else "confusable" if same else "not_confusable", "class": kind, "uts39Confusable": same}

@@ -131,11 +131,29 @@ def uts39_tables(spark) -> dict:
             for c, s in zip(part, checker.getSkeleton("\n".join(part)).split("\n")):
                 if s != c and not has("Default_Ignorable_Code_Point", c):
                     prototype[c] = s
-        recommended = jvm.com.ibm.icu.text.SpoofChecker.RECOMMENDED
         allowed = set()
-        for k in range(recommended.getRangeCount()):
-            allowed.update(map(chr, range(recommended.getRangeStart(k), recommended.getRangeEnd(k) + 1)))
+        for held in (jvm.com.ibm.icu.text.SpoofChecker.RECOMMENDED, jvm.com.ibm.icu.text.SpoofChecker.INCLUSION):
+            for k in range(held.getRangeCount()):
+                allowed.update(map(chr, range(held.getRangeStart(k), held.getRangeEnd(k) + 1)))
         mirrors, brackets = _mirror_tables(jvm)
         _TABLES.update(prototype=prototype, allowed=frozenset(allowed), mirrors=mirrors, brackets=brackets)
         use(_TABLES)
     return _TABLES
+
+
+#: Identifier_Type of UTS #39 in the order of ICU's constants, which start at Not_Character.
+IDENTIFIER_TYPES = ["Not_Character", "Deprecated", "Default_Ignorable", "Not_NFKC", "Not_XID", "Exclusion", "Obsolete", "Technical", "Uncommon_Use", "Limited_Use", "Inclusion", "Recommended"]
+
+
+def report_tables(spark) -> dict:
+    """:func:`uts39_tables` with the ranges of every identifier type, which reports on identifiers need."""
+    tables = uts39_tables(spark)
+    if "types" not in tables:
+        icu = spark._jvm.com.ibm.icu
+        types = {}
+        for value, name in enumerate(IDENTIFIER_TYPES[1:], 1):
+            held = icu.text.UnicodeSet()
+            held.applyIntPropertyValue(icu.lang.UProperty.IDENTIFIER_TYPE, value)
+            types[name] = [(held.getRangeStart(k), held.getRangeEnd(k)) for k in range(held.getRangeCount())]
+        tables["types"] = types
+    return tables

@@ -21,11 +21,13 @@ OPERATIONS = {
     "inspect": (("text",), ("detail_limit",)),
     "normalize": (("text",), ("form", "witness")),
     "compare": (("left", "right"), ("locale", "sensitivity", "numeric", "ignorePunctuation", "caseFirst", "collation")),
-    "transcode": (("bytes",), ("source", "target", "lossy")),
-    "security": (("text",), ()),
-    "explain_difference": (("left", "right"), ("unit",)),
+    "transcode": (("bytes",), ("source", "target", "lossy", "witness")),
+    "security": (("text",), ("mode", "profile", "detail_limit")),
+    "security_pair": (("text", "comparison"), ("profile", "direction", "detail_limit")),
+    "security_source": (("source", "spans"), ("direction", "detail_limit")),
+    "explain_difference": (("left", "right"), ("direction", "detail_limit", "witness")),
     "index": (("text",), ("max_chunk_bytes",)),
-    "protocol_profile": (("text",), ("profile", "action", *("use_std3", "check_bidi", "check_hyphens", "check_joiners", "verify_dns_length"))),
+    "protocol_profile": (("text",), ("profile", "action", "witness", *("use_std3", "check_bidi", "check_hyphens", "check_joiners", "verify_dns_length"))),
 }
 
 
@@ -46,8 +48,18 @@ def build(operation: str, *columns: str | Column, spark: SparkSession | None = N
     if operation == "normalize":
         form = options.get("form", "NFC")
         return C.normalization_witness(*columns, form) if options.get("witness") else C.normalize(*columns, form)
-    if operation == "security":
-        return C.security(*columns, U.uts39_tables(spark or SparkSession.active()))
+    if operation in ("transcode", "protocol_profile") and options.pop("witness", False):
+        return getattr(C, f"{operation.removesuffix('_profile')}_witness")(*columns, **options)
+    if operation == "explain_difference":
+        tables = U.uts39_tables(spark or SparkSession.active()) if options.get("direction") else None
+        return C.difference_report(*columns, tables, **options)
+    if operation.startswith("security"):
+        tables = U.report_tables(spark or SparkSession.active())
+        if operation == "security_source":
+            return C.source_report(*columns, tables, **({"direction": None} | options))
+        if operation == "security_pair":
+            return C.security_report(columns[0], tables, "identifier", comparison=columns[1], **options)
+        return C.security_report(columns[0], tables, **options)
     return getattr(C, operation)(*columns, **options)
 
 
@@ -60,8 +72,9 @@ def apply(operation: str, df: DataFrame, *columns: str, limits: str = "off", ali
     out = build(operation, *columns, spark=df.sparkSession, **options)
     if limits != "strict":
         return df.withColumn(alias, out)
-    size = sum((F.octet_length(c) for c in columns[1:]), F.octet_length(columns[0]))
-    most = LIMITS["pair"] if len(columns) > 1 else LIMITS["text"]
+    texts = columns[:1] if operation == "security_source" else columns
+    size = sum((F.octet_length(c) for c in texts[1:]), F.octet_length(texts[0]))
+    most = LIMITS["security_pair"] if operation == "security_pair" else LIMITS["pair"] if len(texts) > 1 else LIMITS["text"]
     split = df.withColumn(f"{alias}_error", F.when(size > most, F.lit("REQUEST_TOO_LARGE")))
     fits = F.col(f"{alias}_error").isNull()
     # Masked inputs: a condition around a kernel would not keep it from running.

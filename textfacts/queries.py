@@ -174,7 +174,7 @@ def precis_username(spark, d):
 
 _BIDI = [("abc אבג", "LTR"), ("א(1)", "FS"), ("aא<ב", "LTR"), ("א∈ב", "RTL"), ("א⊂ב⊃ג", "RTL"), ("(א)", "RTL"), ("plain", "LTR")]
 _SHOWN = ["abc גבא", "(1)א", "aב>א", "ב∋א", "ג⊂ב⊃א", "(א)", "plain"]
-_LOOK = [("pаypаl", "paypal", "confusable", True), ("paypal", "paypal", "identical", True), ("abc", "abd", "distinct", False)]
+_LOOK = [("pаypаl", "paypal", "confusable", True), ("paypal", "paypal", "identical", True), ("abc", "abd", "not_confusable", False)]
 
 
 def _values(rows: list[tuple]) -> str:

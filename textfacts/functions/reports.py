@@ -10,6 +10,7 @@ from __future__ import annotations
 import unicodedata
 from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 from . import kernels as K
 from . import protocol as P
@@ -30,6 +31,11 @@ def one_of(value: str, known: tuple[str, ...], field: str) -> str:
 # --- places -------------------------------------------------------------------
 
 
+def offsets(text: str) -> list[int]:
+    """The UTF-16 offset of every code point boundary."""
+    return list(accumulate((1 + (c > "\uffff") for c in text), initial=0))
+
+
 def places(text: str) -> dict[int, dict]:
     """The coordinate of every code point boundary, by its offset in UTF-16 units."""
     return {c["utf16"]: c for c in K.coordinates(text)}
@@ -46,11 +52,11 @@ def coordinate(text: str, utf16: int) -> dict:
 def line_ending_items(text: str, limit: int) -> list[dict]:
     """The first line endings with kind and offsets."""
     kinds = {"\r\n": "CRLF", "\n": "LF", "\r": "CR", "\x85": "NEL", "\u2028": "LS", "\u2029": "PS"}
-    out = []
+    out, at = [], offsets(text)
     for found in K.LINE_BREAK.finditer(text):
         if len(out) == limit:
             break
-        start = K.utf16_units(text[: found.start()])
+        start = at[found.start()]
         out.append({"kind": kinds[found.group()], "start_utf16": start, "end_utf16": start + len(found.group())})
     return out
 
@@ -109,10 +115,10 @@ def identifier_profile(text: str, profile: str, tables: dict) -> dict:
     """What a named identifier profile says of a text, with every failure."""
     one_of(profile, PROFILES, "profile")
     shown = K.nfkc_casefold(text) if profile == "uax31_nfkc_casefold" else text
-    start = lambda k: K.utf16_units(shown[:k])
-    failures = [{"index_utf16": start(k), "index_code_point": k, "label": which, "required": "XID_Continue" if k else "XID_Start"} for k, which in K.xid_failures(shown)]
+    at = offsets(shown)
+    failures = [{"index_utf16": at[k], "index_code_point": k, "label": which, "required": "XID_Continue" if k else "XID_Start"} for k, which in K.xid_failures(shown)]
     strict = profile == "uts39_general_security"
-    restricted = [{"index_utf16": start(k), "label": K.label(c)} for k, c in enumerate(shown) if strict and c not in tables["allowed"]]
+    restricted = [{"index_utf16": at[k], "label": K.label(c)} for k, c in enumerate(shown) if strict and c not in tables["allowed"]]
     systems = decimal_systems(shown)
     return {"name": profile, "transformed": shown, "changed": shown != text, "conforms": not failures and not restricted, "syntax_failures": failures, "restricted": restricted, "restriction_level": K.restriction_level(shown, tables["allowed"]), "mixed_numbers": len(systems) > 1, "decimal_systems": systems}
 
@@ -164,8 +170,9 @@ def first_difference(left: list[str], right: list[str], left_text: str, right_te
 
 def invisible(text: str, limit: int) -> dict:
     """Complete signal counts, and the hidden ones of the first ``limit`` characters."""
+    at = offsets(text)
     found = [(k, c, s) for k, c in enumerate(text) if (s := signals(c))]
-    items = [{"index_utf16": K.utf16_units(text[:k]), "label": K.label(c), "character": c, "signals": s} for k, c, s in found if k < limit]
+    items = [{"index_utf16": at[k], "label": K.label(c), "character": c, "signals": s} for k, c, s in found if k < limit]
     return {**{f"{n}s": sum(n in s for _, _, s in found) for n in SIGNALS}, "items": items, "truncated": len(text) > limit}
 
 

@@ -6,6 +6,7 @@ variants with ``replace()``, alike in both engines.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -177,8 +178,26 @@ _SHOWN = ["abc גבא", "(1)א", "aב>א", "ב∋א", "ג⊂ב⊃א", "(א)", "p
 _LOOK = [("pаypаl", "paypal", "confusable", True), ("paypal", "paypal", "identical", True), ("abc", "abd", "not_confusable", False)]
 
 
+def _literal(v) -> str:
+    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower()
+
+
 def _values(rows: list[tuple]) -> str:
-    return "VALUES " + ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v).lower() for v in r) + ")" for r in rows)
+    return "VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
+
+
+#: The confusable prototypes of the tables' characters that have one, decomposed.
+_PROTOTYPES = {"%": "º/₀", "m": "rn", "I": "l", "1": "l", "|": "l", "0": "O", "`": "'", '"': "''", "а": "a", "\u0327": "\u0326"}
+
+
+def _skeleton_sql(c: str) -> str:
+    """The UTS #39 skeleton of the tables' Latin texts, and of their Cyrillic disguise."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    for x in "ÄÇÈÉÊÍÑÓÖÜäçèéêíñóöü":
+        c = f"replace({c}, '{x}', {' || '.join(f'chr({ord(y)})' for y in unicodedata.normalize('NFD', x))})"
+    for a, b in _PROTOTYPES.items():
+        c = f"replace({c}, {quoted(a)}, {quoted(b)})"
+    return c
 
 
 @_query(f"SELECT * FROM ({_values([(t, d, o) for (t, d), o in zip(_BIDI, _SHOWN)])}) v(text, direction, shown)")
@@ -280,7 +299,13 @@ def namespace_collation(spark, d):
     return N.groups(N.keyed(items, [N.Relation("declared_collation", (("locale", "en"), ("sensitivity", "base")))]))
 
 
-@_query()
+_DISGUISED = f"(SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN text ELSE {_sql('text', 'cyrillic')} END AS text, lang AS scope FROM documents)"
+
+
+@_query(
+    "SELECT 'uts39_confusable' AS relation, scope, sha256(sha256(look)) AS key_sha256, count(*) AS members, count(DISTINCT text) AS distinct_texts, min(id) AS first_id "
+    f"FROM (SELECT *, {_skeleton_sql('text')} AS look FROM {_DISGUISED}) GROUP BY scope, look HAVING count(*) > 1 AND count(DISTINCT text) > 1"
+)
 def namespace_confusable(spark, d):
     """Documents whose texts look alike, with every second one in Cyrillic disguise."""
     rows = spark.read.parquet(f"{d}/documents.parquet")
@@ -296,21 +321,114 @@ def hidden_by_span(spark, d):
     return S.hidden_in_spans(S.hidden_characters(docs), spans).groupBy(F.col("source_id").alias("doc_id"), "name").agg(F.count(F.lit(1)).alias("hidden"))
 
 
-@_query()
-def source_confusable_pairs(spark, d):
-    """Confusable words of one conversation, half of its turns in Cyrillic disguise."""
+_TURNS = f"(SELECT conv_id, CASE WHEN turn % 2 = 0 THEN text ELSE {_sql('text', 'cyrillic')} END AS text FROM conversations)"
+_WORDS = f"(SELECT conv_id, word, {_skeleton_sql('word')} AS look, count(*) AS n FROM (SELECT conv_id, unnest(regexp_extract_all(text, '[\\p{{L}}_][\\p{{L}}\\p{{Nd}}_]*')) AS word FROM {_TURNS}) GROUP BY ALL)"
+
+
+def _identifiers(spark, d):
+    """Words of each conversation, half of its turns in Cyrillic disguise."""
     t = F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(_variant("text", "cyrillic"))
     rows = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("source_id"), F.lit("conversation").alias("scope"), t.alias("text"))
-    return S.confusable_pairs(S.identifier_spans(rows, pattern=r"[\p{L}_][\p{L}\p{Nd}_]*"), U.uts39_tables(spark))
+    return S.identifier_spans(rows, pattern=r"[\p{L}_][\p{L}\p{Nd}_]*")
 
 
-@_query()
+@_query(f"SELECT a.conv_id AS source_id, 'conversation' AS scope, a.word AS left_text, b.word AS right_text FROM {_WORDS} a JOIN {_WORDS} b ON a.conv_id = b.conv_id AND a.look = b.look AND a.word < b.word")
+def source_confusable_pairs(spark, d):
+    """Different words of one conversation that look alike, each pair of words once."""
+    return S.confusable_pairs(_identifiers(spark, d), U.uts39_tables(spark))
+
+
+@_query(f"SELECT conv_id AS source_id, 'conversation' AS scope, sha256(look) AS skeleton_sha256, count(*) AS texts, ((sum(n) * sum(n) - sum(n * n)) // 2)::BIGINT AS pairs FROM {_WORDS} GROUP BY conv_id, look HAVING count(*) > 1")
+def source_confusable_classes(spark, d):
+    """The same words by class: their occurrences' pairs are counted, not built."""
+    return S.confusable_classes(_identifiers(spark, d), U.uts39_tables(spark))
+
+
+@_query(
+    f"SELECT p_partkey, CASE WHEN p_name LIKE '%a%' THEN 'empty' ELSE 'set' END AS script_resolution, CASE WHEN p_name LIKE '% %' THEN 'unrestricted' WHEN p_name LIKE '%a%' THEN 'minimally_restrictive' ELSE 'ascii_only' END AS restriction_level, "
+    f"false AS mixed_numbers, p_name NOT LIKE '% %' AS xid, {_n(chr(39) + ' ' + chr(39))} AS not_allowed FROM (SELECT p_partkey, p_name, p_name AS t FROM part)"
+)
 def security_facts(spark, d):
     rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", _variant("p_name", "cyrillic").alias("t"))
     r = rows.select("p_partkey", C.security("t", U.uts39_tables(spark)).alias("r"))
     return r.select("p_partkey", "r.script_resolution", "r.restriction_level", "r.mixed_numbers", "r.xid", "r.not_allowed")
 
 
+_NAME = f"replace({_sql('p_name', 'cyrillic')}, ' ', '_')"
+
+
+@_query(
+    f"SELECT p_partkey, {_NAME} AS transformed, true AS conforms, CASE WHEN p_name LIKE '%a%' THEN 'minimally_restrictive' ELSE 'ascii_only' END AS restriction_level, length(p_name) AS allowed, length(p_name) AS recommended, "
+    "CASE WHEN p_name LIKE '%a%' THEN 'confusable' ELSE 'identical' END AS relation, CASE WHEN p_name LIKE '%a%' THEN 'mixed_script' END AS class, "
+    f"sha256({_skeleton_sql(_NAME)}) AS skeleton_sha256 FROM part"
+)
+def security_identifiers(spark, d):
+    """Part names as identifiers in Cyrillic disguise, each against its plain name."""
+    plain = F.replace("p_name", F.lit(" "), F.lit("_"))
+    rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.replace(_variant("p_name", "cyrillic"), F.lit(" "), F.lit("_")).alias("t"), plain.alias("plain"))
+    r = rows.select("p_partkey", C.security_report("t", U.report_tables(spark), "identifier", "uts39_general_security", "plain", "LTR").alias("r"))
+    kind = F.filter("r.type_counts", lambda x: x["type"] == "Recommended")[0]["n"]
+    return r.select("p_partkey", "r.profile.transformed", "r.profile.conforms", "r.profile.restriction_level", F.col("r.status_allowed").alias("allowed"), kind.alias("recommended"), "r.comparison.relation", "r.comparison.class", F.col("r.comparison.left_skeleton_sha256").alias("skeleton_sha256"))
+
+
+_PAIRS = f"(SELECT conv_id, turn, text AS x, {_sql('text', 'decomposed', 'hidden', 'lines')} AS t FROM conversations)"
+
+
+@_query(
+    "SELECT conv_id, turn, x = t AS exact, strlen(t) AS right_utf8_bytes, length(t) AS right_code_points, nfc_normalize(x) = nfc_normalize(t) AS nfc_equal, sha256(nfc_normalize(t)) AS nfc_sha256, "
+    "CASE WHEN x <> t THEN (SELECT min(k) FROM range(0, 1 + greatest(length(x), length(t))) r(k) WHERE substr(x, k::INT + 1, 1) <> substr(t, k::INT + 1, 1)) END AS first_difference, "
+    f"{_n('chr(8238)')} AS bidi_controls, {_n('chr(8238)')} + {_n('chr(8203)')} AS default_ignorables, length(t) - length(x) AS grown FROM {_PAIRS}"
+)
+def difference_facts(spark, d):
+    """Each turn against itself with decomposed letters, hidden characters and odd line endings."""
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.col("text").alias("x"), _variant("text", "decomposed", "hidden", "lines").alias("t"))
+    r = spread(rows).select("conv_id", "turn", C.difference_report("x", "t").alias("r"))
+    a = F.col("r.code_point_alignment")
+    return r.select("conv_id", "turn", "r.exact", "r.right_utf8_bytes", "r.right_code_points", F.col("r.nfc.equal").alias("nfc_equal"), F.col("r.nfc.right_sha256").alias("nfc_sha256"), F.col("r.first_code_point.index").alias("first_difference"), "r.right_invisible.bidi_controls", "r.right_invisible.default_ignorables", (a["inserted"] - a["deleted"]).alias("grown"))
+
+
+#: Pairs, and the counts of their alignment by code points and by clusters.
+_ALIGNED = [("A\u00e9\U0001f642Z", "Axe\u0301\U0001f642Y", 2, 4, 2, 4, 4), ("aa", "a", 1, 0, 1, 2, 2), ("ab" * 32, "ac" * 32, 32, 32, 32, 64, 64), ("", "x", 0, 1, 0, 1, 1), ("x", "x", 1, 0, 0, 1, 1)]
+
+
+@_query(f"SELECT * FROM ({_values(_ALIGNED)}) v(a, b, matched, inserted, deleted, code_point_segments, grapheme_segments)")
+def difference_alignment(spark, d):
+    """Alignments of known pairs."""
+    rows = spark.createDataFrame([r[:2] for r in _ALIGNED], "a string, b string").select("a", "b", C.difference_report("a", "b").alias("r"))
+    c = F.col("r.code_point_alignment")
+    return rows.select("a", "b", *[c[n].cast("int").alias(n) for n in ("matched", "inserted", "deleted")], c["segment_count"].cast("int").alias("code_point_segments"), F.col("r.grapheme_alignment.segment_count").cast("int").alias("grapheme_segments"))
+
+
+@_query(f"SELECT doc_id, {_n('chr(8203)')} + {_n('chr(8238)')} AS hidden, {_n('chr(8203)')} + {_n('chr(8238)')} AS covered, {_n(_CR)} - {_n(_CRLF)} + {_n(_NEL)} + {_n(_LS)} + {_n(_PS)} AS abnormal, NULL::VARCHAR AS code FROM {_d('hidden', 'lines')} WHERE length(t) > 0 UNION ALL SELECT doc_id, NULL, NULL, NULL, 'INVALID_SPAN' FROM {_d('hidden', 'lines')} WHERE length(t) = 0")
+def source_report(spark, d):
+    """Documents as sources with one span over the whole text; the span of an empty text is refused."""
+    rows = _wide(spark, d, "hidden", "lines")
+    spans = F.array(F.struct(F.lit("token").alias("kind"), F.lit(0).alias("start_utf16"), C.utf16_units("t").alias("end_utf16"), F.lit(None).cast("string").alias("scope")))
+    r = rows.select("doc_id", C.source_report("t", spans, U.uts39_tables(spark), "LTR", 1_000_000).alias("r"))
+    covered = F.size(F.filter("r.hidden", lambda x: F.size(x["spans"]) == 1)).cast("long")
+    return r.select("doc_id", F.col("r.hidden_count").alias("hidden"), F.when(F.col("r.hidden_count").isNotNull(), covered).alias("covered"), F.col("r.abnormal_line_ending_count").alias("abnormal"), F.col("r.error.code").alias("code"))
+
+
+#: Texts with the output and number of passes of the case-mapped username profile, and their domain form.
+_ENFORCED = [("Ｕser", "user", 2, "user"), ("user", "user", 1, "user"), ("faß", "faß", 1, "xn--fa-hia"), ("a b", None, None, None)]
+
+
+@_query(f"SELECT * FROM ({_values(_ENFORCED)}) v(text, output, stabilized_after_pass, to_ascii)")
+def protocol_witnesses(spark, d):
+    rows = spark.createDataFrame([r[:1] for r in _ENFORCED], "text string")
+    r = rows.select("text", C.protocol_witness("text", "precis_username_case_mapped").alias("p"), C.protocol_witness("text", "uts46", "to_ascii").alias("u"))
+    return r.select("text", "p.output", F.col("p.stabilized_after_pass").cast("int").alias("stabilized_after_pass"), F.col("u.output").alias("to_ascii"))
+
+
+@_query(f"SELECT doc_id, length(t) + 1 AS segment_count, CASE WHEN length(t) >= 0 THEN 1 END AS replacement_count, strlen(t) + 1 AS source_end, strlen(t) + 3 AS target_end FROM {_d('emoji')}")
+def transcode_segments(spark, d):
+    """A byte that no text holds, before each text: every later character keeps its place."""
+    raw = F.concat(F.unhex(F.lit("FF")), F.col("t").cast("binary"))
+    r = _wide(spark, d, "emoji").select("doc_id", C.transcode_witness(raw, "utf-8", "utf-8", lossy=True).alias("r"))
+    last = F.element_at("r.segments", -1)
+    return r.select("doc_id", "r.segment_count", F.col("r.replacement_count").cast("int").alias("replacement_count"), last["source_end"].alias("source_end"), last["target_end"].alias("target_end"))
+
+
 @_query()
 def explain_difference(spark, d):
     """Each turn against the one before it."""
@@ -321,7 +439,11 @@ def explain_difference(spark, d):
     return r.select("conv_id", "turn", "r.exact", "r.casefold", "r.first_difference", "r.matched", "r.inserted", "r.deleted", F.size("r.segments").alias("segments"))
 
 
-@_query()
+@_query(
+    f"WITH RECURSIVE cut AS (SELECT doc_id, -1 AS idx, NULL::VARCHAR AS chunk, t AS rest FROM {_d('emoji')} UNION ALL SELECT doc_id, idx + 1, left_grapheme(w, k::BIGINT), substr(rest, length(left_grapheme(w, k::BIGINT)) + 1) "
+    "FROM (SELECT doc_id, idx, rest, substr(rest, 1, 256) AS w, list_max(list_filter(range(1, 257), lambda j: strlen(left_grapheme(substr(rest, 1, 256), j)) <= 256)) AS k FROM cut WHERE rest <> '')) "
+    "SELECT doc_id, idx, sha256(chunk) AS sha256, strlen(chunk)::INT AS utf8_bytes FROM cut WHERE idx >= 0"
+)
 def chunk_texts(spark, d):
     return _wide(spark, d, "emoji").select("doc_id", F.posexplode(C.chunks("t", 256)["chunks"]).alias("idx", "chunk")).select("doc_id", "idx", C.digest("chunk").alias("sha256"), F.octet_length("chunk").alias("utf8_bytes"))
 
@@ -333,7 +455,22 @@ def record_changes(spark, d):
     return R.compare_records(a, b, "doc_id", ["sha256"])
 
 
-@_query()
+def _merkle_sql(leaves: str) -> str:
+    """grp, leaves, root of (grp, o, x): a level at a time, an odd node doubled."""
+    return (
+        "WITH RECURSIVE level AS (SELECT grp, count(*) OVER (PARTITION BY grp) AS leaves, count(*) OVER (PARTITION BY grp) AS n, row_number() OVER (PARTITION BY grp ORDER BY o, x) - 1 AS k, "
+        f"unhex(sha256(unhex('00') || encode(x))) AS d FROM ({leaves}) UNION ALL "
+        "SELECT grp, any_value(leaves), (any_value(n) + 1) // 2, k // 2, unhex(sha256(unhex('01') || min(d) FILTER (k % 2 = 0) || coalesce(min(d) FILTER (k % 2 = 1), min(d) FILTER (k % 2 = 0)))) "
+        "FROM level WHERE n > 1 GROUP BY grp, k // 2) SELECT grp, leaves, lower(hex(d)) AS root FROM level WHERE n = 1"
+    )
+
+
+_REQUEST = """sha256('{"operation":"inspect_counts","text":' || to_json(t)::VARCHAR || '}')"""
+_RESULT = """sha256('{"result":{"code_points":' || length(t) || ',"utf8_bytes":' || strlen(t) || ',"utf16_units":' || length(t) || ',"sha256":"' || sha256(t) || '"}}')"""
+_RECORD = f"sha256(concat_ws(chr(0), 'inspect_counts', {_REQUEST}, {_RESULT}, sha256('{{}}')))"
+
+
+@_query("SELECT doc_id AS case_id, CASE WHEN doc_id % 10 = 0 THEN 'request_sha256,semantic_sha256' ELSE 'same' END AS change FROM documents")
 def measurement_records(spark, d):
     """A record of each document's inspection, replayed after every tenth text was changed."""
     rows = _docs(spark, d).select(F.col("doc_id").alias("case_id"), F.col("t").alias("text"))
@@ -342,13 +479,13 @@ def measurement_records(spark, d):
     return R.replay(recorded, R.measure(changed, "inspect_counts", C.inspect_counts("text"), ["text"]))
 
 
-@_query()
+@_query("SELECT grp AS operation, leaves AS cases, root FROM (" + _merkle_sql(f"SELECT 'inspect_counts' AS grp, doc_id AS o, {_RECORD} AS x FROM {_d()}") + ")")
 def behavior_manifest(spark, d):
     rows = _docs(spark, d).select(F.col("doc_id").alias("case_id"), F.col("t").alias("text"))
     return R.manifest(R.measure(rows, "inspect_counts", C.inspect_counts("text"), ["text"]))
 
 
-@_query()
+@_query(_merkle_sql("SELECT source AS grp, doc_id AS o, sha256(text) AS x FROM documents"))
 def merkle_roots(spark, d):
     return R.merkle_roots(_docs(spark, d).select("source", "doc_id", C.digest("t").alias("leaf")), "source", "doc_id", "leaf")
 

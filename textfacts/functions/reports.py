@@ -64,7 +64,9 @@ def line_ending_items(text: str, limit: int) -> list[dict]:
 # --- security -----------------------------------------------------------------
 
 
+@lru_cache(200_000)
 def signals(char: str) -> list[str]:
+    """Kinds of hidden character that a character is; not to be changed, as it is remembered."""
     return [name for name, prop in SIGNALS.items() if U.has(prop, char)]
 
 
@@ -95,6 +97,9 @@ def observe(text: str, mode: str, limit: int, tables: dict) -> dict:
         own = signals(c)
         for s in own:
             counts[s] += 1
+        if not named and k >= limit:
+            at += 1 + (c > "\uffff")
+            continue
         status = types = None
         if named:
             status, types = "Allowed" if c in tables["allowed"] else "Restricted", identifier_types(c, tables["types"])
@@ -103,8 +108,9 @@ def observe(text: str, mode: str, limit: int, tables: dict) -> dict:
                 kinds[t] = kinds.get(t, 0) + 1
         if k < limit:
             detail.append({"index_utf16": at, "label": K.label(c), "character": c, "scripts": list(U.scripts(c)), "bidi_class": U.bidi_class(c), "signals": own, "identifier_status": status, "identifier_types": types})
-        at += K.utf16_units(c)
-    resolution, scripts = K.resolve_scripts(text)
+        at += 1 + (c > "\uffff")
+    # Each character once: repeats do not change an intersection.
+    resolution, scripts = K.resolve_scripts("".join(dict.fromkeys(text)))
     out = {"mode": mode, "code_points": len(text), "utf16_units": at, **{f"{s}s": n for s, n in counts.items()}, "script_resolution": resolution, "scripts": scripts, "characters": detail, "characters_truncated": len(text) > limit}
     if named:
         out |= {"status_allowed": allowed, "status_restricted": len(text) - allowed, "type_counts": [{"type": t, "n": kinds[t]} for t in sorted(kinds)]}

@@ -119,6 +119,13 @@ def test_domains():
     assert P.uts46("faß.de", "to_ascii") == "xn--fa-hia.de"
     assert P.uts46("xn--fa-hia.de", "to_unicode") == "faß.de"
     assert P.uts46("EXAMPLE.com", "to_ascii") == "example.com"
+    assert P.uts46("fa\u00df.\u03bf\u03c2", "to_ascii", transitional=True) == "fass." + P.uts46("\u03bf\u03c3", "to_ascii")
+    assert P.uts46("a\u200db.de", "to_ascii", transitional=True) == "ab.de"
+    with pytest.raises(K.TextFactError, match="PROTOCOL_STRING_INVALID"):
+        P.uts46("xn--0.de", "to_unicode")
+    assert P.uts46("xn--0.de", "to_unicode", ignore_invalid_punycode=True) == "xn--0.de"
+    with pytest.raises(K.TextFactError, match="INVALID_INPUT"):
+        P.uts46("a.de", "to_ascii", guess=True)
     for bad in ("-bad", "a..b", "xn--a", "a" * 64):
         with pytest.raises(K.TextFactError):
             P.uts46(bad, "to_ascii")

@@ -27,7 +27,7 @@ OPERATIONS = {
     "security_source": (("source", "spans"), ("direction", "detail_limit")),
     "explain_difference": (("left", "right"), ("direction", "detail_limit", "witness")),
     "index": (("text",), ("max_chunk_bytes",)),
-    "protocol_profile": (("text",), ("profile", "action", "witness", *("use_std3", "check_bidi", "check_hyphens", "check_joiners", "verify_dns_length"))),
+    "protocol_profile": (("text",), ("profile", "action", "witness", *("use_std3", "check_bidi", "check_hyphens", "check_joiners", "verify_dns_length", "transitional", "ignore_invalid_punycode"))),
 }
 
 

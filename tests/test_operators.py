@@ -74,6 +74,20 @@ def test_plans(spark):
     assert [r["chunk"] for r in spark.sql("SELECT * FROM tf_chunks('abcdef', 4)").collect()] == ["abcd", "ef"]
 
 
+def test_strict_limits(spark):
+    df = spark.createDataFrame([("a" * 4096, 1), ("ab", 2), ("a" * 200, 3)], "t string, k int")
+    got = {r["k"]: r for r in plans.apply("index", df, "t", max_chunk_bytes=1, limits="strict").collect()}
+    assert got[3]["result"]["error"]["code"] == "TOO_MANY_CHUNKS" and got[2]["result"]["chunks"] == ["a", "b"]
+    got = {r["k"]: r for r in plans.apply("index", df, "t", limits="strict").collect()}
+    assert got[1]["result_error"] == "RESULT_TOO_LARGE" and got[1]["result"] is None and got[2]["result_error"] is None
+    pair = spark.createDataFrame([("ab" * 32, "ac" * 32)], "a string, b string")
+    assert plans.apply("explain_difference", pair, "a", "b", witness=True, limits="strict").first()["result_error"] == "RESULT_TOO_LARGE"
+    assert plans.apply("explain_difference", pair, "a", "b", limits="strict").first()["result_error"] is None
+    for bad in ({"detail_limit": 129}, {"detail_limit": -1}):
+        with pytest.raises(TextFactError, match="INVALID_INPUT"):
+            plans.apply("inspect", df, "t", limits="strict", **bad)
+
+
 def test_errors_stay_in_their_row(spark):
     df = spark.createDataFrame([("a b",), ("user",)], "t string")
     got = df.select(C.protocol_profile("t", "precis_username_case_mapped").alias("r")).collect()

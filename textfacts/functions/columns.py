@@ -199,10 +199,10 @@ def inspect_units(c: str | Column) -> Column:
     return _kernel("well_formed boolean, code_points long, graphemes long, utf8_bytes long, unpaired long", run, col(c))
 
 
-def index(c: str | Column, max_chunk_bytes: int | None = None) -> Column:
+def index(c: str | Column, max_chunk_bytes: int | None = None, max_chunks: int | None = None) -> Column:
     """Coordinates at every boundary, and grapheme-safe chunks where asked for."""
     kind = "utf8:long,utf16:long,code_point:long,grapheme:long,line:long,column_code_point:long,column_utf16:long"
-    return _kernel(f"boundaries array<struct<{kind}>>, chunks array<string>", lambda t: {"boundaries": K.coordinates(t), "chunks": K.chunk(t, max_chunk_bytes) if max_chunk_bytes else None}, col(c))
+    return _kernel(f"boundaries array<struct<{kind}>>, chunks array<string>", lambda t: {"boundaries": K.coordinates(t), "chunks": K.chunk(t, max_chunk_bytes, max_chunks) if max_chunk_bytes else None}, col(c))
 
 
 def chunks(c: str | Column, max_bytes: int) -> Column:

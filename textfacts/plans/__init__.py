@@ -26,7 +26,7 @@ OPERATIONS = {
     "security_pair": (("text", "comparison"), ("profile", "direction", "detail_limit")),
     "security_source": (("source", "spans"), ("direction", "detail_limit")),
     "explain_difference": (("left", "right"), ("direction", "detail_limit", "witness")),
-    "index": (("text",), ("max_chunk_bytes",)),
+    "index": (("text",), ("max_chunk_bytes", "max_chunks")),
     "protocol_profile": (("text",), ("profile", "action", "witness", *("use_std3", "check_bidi", "check_hyphens", "check_joiners", "verify_dns_length", "transitional", "ignore_invalid_punycode"))),
 }
 
@@ -67,8 +67,11 @@ def apply(operation: str, df: DataFrame, *columns: str, limits: str = "off", ali
     """``df`` with the operation's struct as one more column.
 
     ``limits='strict'`` adds ``<alias>_error``: the code of a row that exceeds the
-    text budget, whose result is then null.
+    text or the result budget, whose result is then null.  Options beyond their
+    limits are refused at once.
     """
+    if limits == "strict":
+        options = _strict(operation, options)
     out = build(operation, *columns, spark=df.sparkSession, **options)
     if limits != "strict":
         return df.withColumn(alias, out)
@@ -79,7 +82,21 @@ def apply(operation: str, df: DataFrame, *columns: str, limits: str = "off", ali
     fits = F.col(f"{alias}_error").isNull()
     # Masked inputs: a condition around a kernel would not keep it from running.
     masked = split.withColumns({f"__arg{k}": F.when(fits, F.col(c)) for k, c in enumerate(columns)})
-    return masked.withColumn(alias, build(operation, *[f"__arg{k}" for k in range(len(columns))], spark=df.sparkSession, **options)).drop(*[f"__arg{k}" for k in range(len(columns))])
+    done = masked.withColumn(alias, build(operation, *[f"__arg{k}" for k in range(len(columns))], spark=df.sparkSession, **options))
+    large = F.coalesce(F.octet_length(F.to_json(F.struct(alias))) > LIMITS["result"], F.lit(False))
+    done = done.withColumn(f"{alias}_error", F.coalesce(f"{alias}_error", F.when(large, F.lit("RESULT_TOO_LARGE"))))
+    return done.withColumn(alias, F.when(~large, F.col(alias))).drop(*[f"__arg{k}" for k in range(len(columns))])
+
+
+def _strict(operation: str, options: dict) -> dict:
+    """The options under the limits of strict mode; INVALID_INPUT beyond them."""
+    bounds = {"detail_limit": (0, LIMITS["detail"]), "max_chunk_bytes": (1, LIMITS["chunk"])}
+    for name, (least, most) in bounds.items():
+        if options.get(name) is not None and not least <= options[name] <= most:
+            raise TextFactError("INVALID_INPUT", field=name, minimum=least, maximum=most)
+    if len(options.get("locale", "")) > LIMITS["locale"]:
+        raise TextFactError("INVALID_INPUT", field="locale", maximum=LIMITS["locale"])
+    return options | {"max_chunks": LIMITS["chunks"]} if operation == "index" and options.get("max_chunk_bytes") else options
 
 
 def register(spark: SparkSession) -> list[str]:

@@ -56,6 +56,11 @@ def test_records(spark):
     for n in range(1, 12):
         rows = spark.createDataFrame([("g", k, f"leaf{k}") for k in range(n)], "g string, o int, x string")
         assert R.merkle_roots(rows, "g", "o", "x").first()["root"] == R.merkle([f"leaf{k}".encode() for k in range(n)])
+    # One group holds most rows; blocks of four leaves.
+    rows = [("hot", k, f"leaf{k}") for k in range(61)] + [("b", k, None if k == 3 else "same") for k in range(9)] + [(None, 0, "x"), ("four", 0, "y")]
+    got = {r["grp"]: (r["leaves"], r["root"]) for r in R.merkle_roots(spark.createDataFrame(rows, "g string, o int, x string"), "g", "o", "x", block_height=2).collect()}
+    want = {g: [(x or "").encode() for h, _, x in rows if h == g] for g, _, _ in rows}
+    assert got == {g: (len(v), R.merkle(v)) for g, v in want.items()}
     a, b = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "id long, h string"), spark.createDataFrame([(2, "y"), (3, "q"), (4, "w")], "id long, h string")
     assert {r["id"]: r["change"] for r in R.compare_records(a, b, "id", ["h"]).collect()} == {1: "removed", 2: "same", 3: "h", 4: "added"}
 

@@ -9,8 +9,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def canonical_json(value) -> str:
     """JSON with keys in UTF-16 order and finite numbers only."""
@@ -43,38 +46,84 @@ def merkle(leaves: list[bytes]) -> str:
     return level[0].hex()
 
 
-def merkle_roots(rows: DataFrame, group: str, order: str, leaf: str) -> DataFrame:
-    """group, leaves, root: rows of a group arrive sorted and are folded one by one, in memory of the tree's height."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, now, n, peaks = [], None, 0, []
+class _Peaks:
+    """A tree under construction: the roots of its full subtrees, in memory of its height."""
+
+    def __init__(self):
+        self.peaks: list[tuple[bytes, int]] = []
+
+    def push(self, h: bytes, height: int = 0) -> None:
+        while self.peaks and self.peaks[-1][1] == height:
+            h = hashlib.sha256(b"\1" + self.peaks.pop()[0] + h).digest()
+            height += 1
+        self.peaks.append((h, height))
+
+    def root(self) -> tuple[bytes, int]:
+        while len(self.peaks) > 1:
+            h, height = self.peaks.pop()
+            self.push(lifted(h, height, self.peaks[-1][1]), self.peaks[-1][1])
+        return self.peaks[0]
+
+
+def lifted(h: bytes, height: int, to: int) -> bytes:
+    """A node without a neighbour, doubled level by level."""
+    for _ in range(to - height):
+        h = hashlib.sha256(b"\1" + h + h).digest()
+    return h
 
-        def push(h: bytes, height: int) -> None:
-            while peaks and peaks[-1][1] == height:
-                h = hashlib.sha256(b"\1" + peaks.pop()[0] + h).digest()
-                height += 1
-            peaks.append((h, height))
+
+#: Leaves of one block of a tree are 2 to this power; blocks are folded apart from one another.
+BLOCK_HEIGHT = 12
+_NODES = "grp string, block long, leaves long, hash binary, height int"
+
+
+def merkle_roots(rows: DataFrame, group: str, order: str, leaf: str, *, block_height: int = BLOCK_HEIGHT) -> DataFrame:
+    """group, leaves, root: the Merkle root of each group's leaves in order.
+
+    Leaves are dealt by range, numbered within their group from the counts of the ranges, and folded by
+    aligned blocks; only the blocks' roots of a group meet, so a group may hold any share of the rows.
+    A null leaf counts as empty; a null group is a group.
+    """
+    def fold(batches: Iterator[pa.RecordBatch], of_blocks: bool) -> Iterator[pa.RecordBatch]:
+        out, now, held = [], None, []
+        tree, n = _Peaks(), 0
 
         def close() -> None:
-            while len(peaks) > 1:
-                h, height = peaks.pop()
-                while height < peaks[-1][1]:
-                    h, height = hashlib.sha256(b"\1" + h + h).digest(), height + 1
-                push(h, height)
-            out.append((now, n, peaks[0][0].hex()))
+            # A tree of one node is that node; of more, all are lifted to one height first.
+            if len(held) == 1:
+                h, height = held[0]
+            else:
+                h, height = tree.root()
+            out.append((*now, n, h, height))
 
         for batch in batches:
-            for g, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if n and g != now:
+            for g, block, leaves, h, height in zip(*(c.to_pylist() for c in batch.columns)):
+                key = (g, None if of_blocks else block)
+                if n and key != now:
                     close()
-                    n, peaks = 0, []
-                now, n = g, n + 1
-                push(hashlib.sha256(b"\0" + (x or "").encode()).digest(), 0)
+                    tree, n, held = _Peaks(), 0, []
+                now, n = key, n + leaves
+                if len(held) < 2:
+                    held.append((h, height))
+                tree.push(lifted(h, height, block_height) if of_blocks else h, block_height if of_blocks else 0)
         if n:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["grp", "leaves", "root"])
-
-    dealt = rows.select(F.col(group).cast("string").alias("g"), F.col(leaf).cast("string").alias("x"), F.col(order).alias("o")).repartition("g").sortWithinPartitions("g", "o", "x")
-    return dealt.select("g", "x").mapInArrow(run, "grp string, leaves long, root string")
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], ["grp", "block", "leaves", "hash", "height"])
+
+    text = F.coalesce(F.col(leaf).cast("string"), F.lit("")).cast("binary")
+    hashed = rows.select(F.col(group).cast("string").alias("grp"), F.col(order).alias("o"), F.col(leaf).cast("string").alias("x"), F.unhex(F.sha2(F.concat(F.unhex(F.lit("00")), text), 256)).alias("hash"))
+    dealt = hashed.repartitionByRange("grp", "o", "x").sortWithinPartitions("grp", "o", "x")
+    # Written once: a partition worked out again could be cut elsewhere.
+    dealt = written(dealt.select("grp", "hash", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "leaves")
+    counts = dealt.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("least"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("grp").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("grp").alias("__g"), F.col("part").alias("__p"), (before - F.col("least")).alias("shift"))
+    numbered = dealt.join(starts, dealt["grp"].eqNullSafe(starts["__g"]) & (dealt["part"] == starts["__p"])).withColumn("k", F.col("at") + F.col("shift"))
+    nodes = numbered.select("grp", F.shiftright("k", block_height).alias("block"), "k", "hash").repartition("grp", "block").sortWithinPartitions("grp", "block", "k")
+    blocks = nodes.select("grp", "block", F.lit(1).cast("long").alias("leaves"), "hash", F.lit(0).alias("height")).mapInArrow(lambda b: fold(b, False), _NODES)
+    blocks = blocks.repartition("grp").sortWithinPartitions("grp", "block")
+    return blocks.mapInArrow(lambda b: fold(b, True), _NODES).select("grp", "leaves", F.lower(F.hex("hash")).alias("root"))
 
 
 def compare_records(left: DataFrame, right: DataFrame, key: str, digests: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textfacts import plans
 from textfacts.functions import columns as C
+from textfacts.functions import kernels as K
 from textfacts.functions import unicode_data as U
 from textfacts.functions.kernels import TextFactError
 from textfacts.operators import namespace as N
@@ -47,6 +48,28 @@ def test_source(spark):
     assert S.hidden_in_spans(hidden, spans).count() == 1
 
 
+def test_confusable_pairs_look_once(spark):
+    text = "paypal pаypal раураӏ scope ѕсоре Scope אב בא"
+    ids = S.identifier_spans(spark.createDataFrame([(1, "f", text), (1, "f", text), (2, "f", "paypal"), (3, "f", "pаypal"), (None, "f", text)], "source_id long, scope string, text string"), pattern=r"[\p{L}_]+")
+    tables = U.uts39_tables(spark)
+    pairs = S.confusable_pairs(ids, tables)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    key = {w: K.bidi_skeleton(w, tables["prototype"]) for w in text.split()}
+    assert sorted(tuple(r) for r in pairs.collect()) == sorted((1, "f", a, b) for a in key for b in key if a < b and key[a] == key[b])
+    assert plan.count("ArrowEvalPython") + plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_skeletons_of_many_texts(spark):
+    tables = U.uts39_tables(spark)
+    U.use(tables)
+    for direction in ("LTR", "RTL", "FS"):
+        many = K.skeletons(tables["prototype"], direction)
+        for t in ["", "paypal", "pаypal", "_1a", "אב(c)", "a\u200bm", "é1", "e\u0301\u0327", "x\u202ey", "paypal"]:
+            assert many(t) == K.bidi_skeleton(t, tables["prototype"], direction)
+        with pytest.raises(TextFactError):
+            many("a\ud800")
+
+
 def test_records(spark):
     assert R.canonical_json({"b": 1, "a": [True, None, "é"]}) == '{"a":[true,null,"é"],"b":1}'
     with pytest.raises(ValueError):

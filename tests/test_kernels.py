@@ -1,6 +1,8 @@
 """Literal expectations of the text-fact kernels."""
 
+import itertools
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -134,3 +136,45 @@ def test_domains():
 @given(st.text(alphabet=st.one_of(st.sampled_from("ab\r\n é́‍\U0001f468\U0001f467؀กำ한가\U0001f1e9\U0001f1ea\xad\xa9"), st.characters(blacklist_categories=["Cs"])), max_size=30))
 def test_grapheme_count_counts_graphemes(text):
     assert K.grapheme_count(text) == len(K.graphemes(text))
+
+
+def _split(left, right, i0, i1, j0, j1):
+    """The highest split at the middle of the left side, again and again; the first match of a single item."""
+    if i1 - i0 < 2:
+        return [(i0, j) for j in range(j0, j1) if i1 > i0 and left[i0] == right[j]][:1]
+
+    def common(x, y):
+        row = [0] * (len(y) + 1)
+        for a in x:
+            row = [0, *itertools.accumulate((max(row[j + 1], row[j] + (a == b)) for j, b in enumerate(y)), max)]
+        return row[-1]
+
+    mid = (i0 + i1) // 2
+    cut = max(range(j0, j1 + 1), key=lambda j: (common(left[i0:mid], right[j0:j]) + common(left[mid:i1], right[j:j1]), j))
+    return _split(left, right, i0, mid, j0, cut) + _split(left, right, mid, i1, cut, j1)
+
+
+@pytest.mark.parametrize("kept_bits", [1 << 28, 40])
+def test_align_takes_the_highest_splits(monkeypatch, kept_bits):
+    monkeypatch.setattr(K, "KEPT_BITS", kept_bits)
+    chance = random.Random(5)
+    for _ in range(400):
+        left, right = ("".join(chance.choices("abc", k=chance.randint(0, 9))) for _ in range(2))
+        got = [(i + d, p + d) for kind, i, j, p, _ in K.align(left, right) if kind == "equal" for d in range(j - i)]
+        assert got == _split(left, right, 0, len(left), 0, len(right)), (left, right)
+
+
+def test_align_many_pairs_in_time():
+    left = list("so that what which " * 28)
+    right = list("so that w‮hat whích\r\n" * 28)
+    began = time.process_time()
+    for _ in range(200):
+        K.align(left, right)
+    assert time.process_time() - began < 3
+
+
+def test_one_coordinate_as_in_all():
+    chance = random.Random(6)
+    for _ in range(500):
+        text = "".join(chance.choices("ab\r\ńé \U0001f468‍\U0001f1e6", k=chance.randint(0, 8)))
+        assert [K.coordinate(text, k) for k in range(len(text) + 1)] == K.coordinates(text)

@@ -143,3 +143,13 @@ def test_columns(spark):
             plans.build("security", "a", **bad)
     with pytest.raises(TextFactError, match="INVALID_INPUT"):
         plans.build("security_source", "a", "s")
+
+
+def test_parts_of_a_difference(spark):
+    pair = spark.createDataFrame([("aéx", "aé‮y")], "a string, b string")
+    whole = pair.select(C.difference_report("a", "b").alias("r")).first()["r"].asDict()
+    names = ["exact", "nfc", "first_code_point", "right_invisible", "code_point_alignment"]
+    some = pair.select(C.difference_report("a", "b", parts=names).alias("r")).first()["r"].asDict()
+    assert set(some) == {*names, "error"} and all(some[n] == whole[n] for n in some)
+    with pytest.raises(TextFactError):
+        C.difference_report("a", "b", parts=["guess"])

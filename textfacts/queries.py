@@ -382,7 +382,8 @@ _PAIRS = f"(SELECT conv_id, turn, text AS x, {_sql('text', 'decomposed', 'hidden
 def difference_facts(spark, d):
     """Each turn against itself with decomposed letters, hidden characters and odd line endings."""
     rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.col("text").alias("x"), _variant("text", "decomposed", "hidden", "lines").alias("t"))
-    r = spread(rows).select("conv_id", "turn", C.difference_report("x", "t").alias("r"))
+    parts = ("exact", "right_utf8_bytes", "right_code_points", "nfc", "first_code_point", "right_invisible", "code_point_alignment")
+    r = spread(rows).select("conv_id", "turn", C.difference_report("x", "t", parts=parts).alias("r"))
     a = F.col("r.code_point_alignment")
     return r.select("conv_id", "turn", "r.exact", "r.right_utf8_bytes", "r.right_code_points", F.col("r.nfc.equal").alias("nfc_equal"), F.col("r.nfc.right_sha256").alias("nfc_sha256"), F.col("r.first_code_point.index").alias("first_difference"), "r.right_invisible.bidi_controls", "r.right_invisible.default_ignorables", (a["inserted"] - a["deleted"]).alias("grown"))
 
